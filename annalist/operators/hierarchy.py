@@ -119,7 +119,7 @@ def peel(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Forest:
     parents = names.select("tree", F.col("node").alias("parent"), F.col("id").alias("up"))
     active = scratch.cut(names.join(parents, ["tree", "parent"], "left").select("id", "up"), "links")
     names = names.select("id", "tree", "node", "label")
-    peeled, phase, left = None, 0, None
+    peeled, cyclic, phase = None, None, 0
     while True:
         forks = active.filter(F.col("up").isNotNull()).groupBy("up").agg(F.count(F.lit(1)).alias("n"))
         above = forks.select("up", F.col("n").alias("nup"))
@@ -132,31 +132,37 @@ def peel(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Forest:
         )
         walk, open_ = _cut_counting(scratch, walk, ~F.col("done"))
         while open_:
-            to = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("off").alias("off2"), F.col("done").alias("done2"))
-            moved = walk.filter(~F.col("done")).join(to, "ptr").select("id", "parent", "leaf", F.col("ptr2").alias("ptr"), (F.col("off") + F.col("off2")).alias("off"), F.col("done2").alias("done"))
-            nxt, n = _cut_counting(scratch, walk.filter("done").unionByName(moved), ~F.col("done"))
+            nxt, n = _cut_counting(scratch, _double(_double(walk)), ~F.col("done"))
             scratch.drop(walk)
             walk = nxt
             if n == open_:
                 break  # a run that ends doubles towards its head, so only pure cycles stand still
             open_ = n
+        still = walk.filter(~F.col("done")).select("id")
+        cyclic = still if cyclic is None else cyclic.unionByName(still)
         ends = walk.filter(F.col("leaf") & F.col("done")).select(F.col("ptr").alias("end"))
-        marked = walk.join(ends, (walk["ptr"] == ends["end"]) & walk["done"], "left")
+        marked = walk.filter("done").join(ends, F.col("ptr") == F.col("end"), "left")
         marked, rest = _cut_counting(scratch, marked.select("id", "parent", "ptr", "off", F.col("end").isNotNull().alias("peel")), ~F.col("peel"))
-        scratch.drop(walk, active)
+        scratch.drop(active)
         own = marked.filter("peel").select("id", "parent", F.col("ptr").alias("head"), "off", F.lit(phase).alias("phase"))
         peeled = own if peeled is None else peeled.unionByName(own)
         active = marked.filter(~F.col("peel")).select("id", F.col("parent").alias("up"))
         phase += 1
-        if rest == 0 or rest == left:
+        if rest == 0:
             break
-        left = rest
     nodes = peeled.select("id", "head", "off")
     heads = peeled.filter(F.col("off") == 0).select("head", "phase", F.col("parent").alias("up"))
     lens = peeled.groupBy("head").agg(F.count(F.lit(1)).alias("len"))
     where = nodes.select(F.col("id").alias("up"), F.col("head").alias("pseg"), F.col("off").alias("poff"))
     segments = scratch.cut(heads.join(lens, "head").join(where, "up", "left"), "segments")
-    return Forest(scratch, names, nodes, segments, active.select("id"), phase)
+    return Forest(scratch, names, nodes, segments, cyclic, phase)
+
+
+def _double(walk: DataFrame) -> DataFrame:
+    """Lets every open pointer skip to where its target points; pointers at a segment's head are done."""
+    to = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("off").alias("off2"), F.col("done").alias("done2"))
+    moved = walk.filter(~F.col("done")).join(to, "ptr").select("id", "parent", "leaf", F.col("ptr2").alias("ptr"), (F.col("off") + F.col("off2")).alias("off"), F.col("done2").alias("done"))
+    return walk.filter("done").unionByName(moved)
 
 
 def _cut_counting(scratch: Scratch, df: DataFrame, what) -> tuple[DataFrame, int]:
