@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import generated, syntax
+from annalist.llm import generated, secrets, syntax
 from annalist.session import Scratch
 from annalist.sources.tables import table
 
@@ -43,7 +43,18 @@ def p4_shared_subtrees(spark: SparkSession, d: str) -> DataFrame:
     return generated.shared_subtrees(dirs, owners)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tasks = secrets.find_secrets(table(spark, d, "function_tasks"), "function_tasks", "task_id", "source", "file_path")
+    docs = secrets.find_secrets(table(spark, d, "documentations"), "documentations", "id", "content").distinct()
+    return tasks.unionByName(docs)
+
+
+def p5_redacted_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its credentials masked."""
+    return secrets.redact(table(spark, d, "function_tasks").select("task_id", "file_path", "source"), "source", "file_path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks,
 }
 ORACLES: dict[str, str] = {}
