@@ -62,7 +62,7 @@ class FeedTable:
         merged = _merge(rows)
         spread = F.pmod(F.xxhash64("commit_sha"), F.lit(2))
         folder, written = self.store.write("state", merged.repartition(F.col("bucket"), spread))
-        self.store.commit(before, {"state": (folder, written, touched or written)})
+        self.store.commit(before, "state", [(folder, written)], touched or written)
         return touched or written
 
     def current_ids(self) -> DataFrame:

@@ -1,12 +1,14 @@
 """Problem 6: the history of changing attributes, each version with its period of validity.
 
-`HistoryStore` keeps the raw changes and the versions of every entity. A batch of changes, late and corrected ones
-included, is applied by rebuilding affected chains: only the touched entities' raw changes are retrieved, all their
-versions are rebuilt from these, and one commit replaces those chains and adds the raw rows.
+`HistoryStore` keeps the versions of every entity in buckets; the raw changes stay in the logs they come from. A batch
+of changes, late and corrected ones included, is applied by rebuilding affected chains: only the touched entities' raw
+changes are retrieved from the log, all their versions are built anew, and one commit puts these in the place of the
+old chains. What a touched bucket holds of other entities is copied within the scan's tasks, without a shuffle.
 
-An entity may hold a third of all rows, so no step gathers an entity in a task. Chains are built in slices of a day: at
-one time only one event of an entity counts, so a slice holds at most as many events as a day has clock ticks in use.
-Neighbours across slices come from summaries, one row per entity and slice.
+A build has one shuffle, by bucket: chains are made and written where it ends. An entity may hold a third of all rows, so
+entities of more than HOT changes are found first. Their changes are deduplicated with partial aggregation and their
+chains built in slices of a day: at one time only one event of an entity counts, so a slice holds no more events than a
+day has clock ticks in use. Neighbours across slices come from summaries, one row per hot entity and slice.
 
 Cases: events without time or id are ignored; rows with one id are one event; at one time the greatest id counts; a null
 name is ''; a null value is ''; a null is_deleted is false; deletions of what is not valid change nothing.
@@ -14,24 +16,30 @@ name is ''; a null value is ''; a null is_deleted is false; deletions of what is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from annalist.functions.joins import null_safe_join
+from annalist.session import Scratch
 from annalist.sources.bucket_store import BUCKETS, BucketStore
 
 KEY = ("origin", "repository_id", "file_path", "function_name")
-_KEYS = [
+VERSIONS = T.StructType([
     T.StructField("origin", T.StringType()),
     T.StructField("repository_id", T.LongType()),
     T.StructField("file_path", T.StringType()),
     T.StructField("function_name", T.StringType()),
-]
-RAW = T.StructType([*_KEYS, T.StructField("at", T.LongType()), T.StructField("id", T.LongType()), T.StructField("value", T.StringType()), T.StructField("gone", T.BooleanType())])
-VERSIONS = T.StructType([*_KEYS, T.StructField("value", T.StringType()), T.StructField("valid_from", T.LongType()), T.StructField("valid_to", T.LongType())])
+    T.StructField("value", T.StringType()),
+    T.StructField("valid_from", T.LongType()),
+    T.StructField("valid_to", T.LongType()),
+])
 DAY = 86_400 * 1_000_000
+#: Changes of one entity from which its chain is built in slices.
+HOT = 1_000_000
+#: Keys that a join may broadcast; they are counted first. At a few hundred bytes each this is far below an executor's memory.
+BROADCAST_KEYS = 100_000
 
 
 def to_changes(events: DataFrame, origin: str, at: str, value: Column) -> DataFrame:
@@ -43,62 +51,74 @@ def to_changes(events: DataFrame, origin: str, at: str, value: Column) -> DataFr
     )
 
 
-def _beside(rows: DataFrame, what: Column, name: str, back: bool) -> DataFrame:
-    """Adds the struct of the row before (or after) of the same entity in order of `at`; rows have the columns KEY, slice, at."""
-    inner = W.partitionBy(*KEY, "slice").orderBy("at")
-    near = (F.lag(what) if back else F.lead(what)).over(inner)
+def _key_hash() -> Column:
+    return F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in KEY])
+
+
+def hot_keys(changes: DataFrame, hot: int = HOT) -> list[int]:
+    """Hashes of the entities of more than `hot` changes: at most the rows divided by `hot`, so few that a filter can list them."""
+    return [r[0] for r in changes.groupBy(_key_hash().alias("k")).count().filter(F.col("count") > hot).select("k").collect()]
+
+
+def _beside(rows: DataFrame, what: Column, name: str, back: bool, hot: bool) -> DataFrame:
+    """Adds the struct of the row before (or after) of the same entity in order of `at`."""
+    parts = ("bucket", *KEY, "slice")
+    near = (F.lag(what) if back else F.lead(what)).over(W.partitionBy(*parts).orderBy("at"))
     rows = rows.withColumn(name, near)
+    if not hot:
+        return rows
     edge = (F.max_by if back else F.min_by)(what, F.col("at")).alias("edge")
-    ends = rows.groupBy(*KEY, "slice").agg(edge)
-    outer = W.partitionBy(*KEY).orderBy("slice")
-    carry = ends.select(*KEY, "slice", (F.lag("edge") if back else F.lead("edge")).over(outer).alias("carry")).filter(F.col("carry").isNotNull())
-    joined = null_safe_join(rows, carry, (*KEY, "slice"), "left")
-    return joined.withColumn(name, F.coalesce(name, "carry")).drop("carry")
-
-
-def build_versions(changes: DataFrame) -> DataFrame:
-    """Versions of all entities in `changes`."""
-    slice_ = F.floor(F.col("at") / F.lit(DAY)).cast("long").alias("slice")
-    rows = changes.groupBy(*KEY, slice_, "at").agg(F.max(F.struct("id", "gone", "value")).alias("e"))
-    rows = rows.select(*KEY, "slice", "at", "e.gone", "e.value")
-    rows = _beside(rows, F.struct("gone", "value"), "prev", back=True)
+    ends = rows.filter(F.col("slice") >= 0).groupBy(*parts).agg(edge)
+    outer = W.partitionBy("bucket", *KEY).orderBy("slice")
+    carry = ends.select(*parts, (F.lag("edge") if back else F.lead("edge")).over(outer).alias("carry")).filter(F.col("carry").isNotNull())
+    return null_safe_join(rows, carry, parts, "left").withColumn(name, F.coalesce(name, "carry")).drop("carry")
+
+
+def build_versions(changes: DataFrame, bucket: Column, hot: list[int] | None = None) -> DataFrame:
+    """Versions of all entities in `changes`, with their bucket, lying by bucket."""
+    rows = changes.withColumn("bucket", bucket).withColumn("slice", F.lit(-1).cast("long"))
+    one = F.max(F.struct("id", "gone", "value")).alias("e")
+    if hot:
+        is_hot = _key_hash().isin(hot)
+        sliced = rows.filter(is_hot).withColumn("slice", F.greatest(F.floor(F.col("at") / F.lit(DAY)).cast("long"), F.lit(0)))
+        sliced = sliced.groupBy("bucket", *KEY, "slice", "at").agg(one).select("bucket", *KEY, "slice", "at", "e.id", "e.gone", "e.value")
+        rows = rows.filter(~is_hot).select(*sliced.columns).unionByName(sliced)
+    rows = rows.repartition("bucket", "slice").groupBy("bucket", *KEY, "slice", "at").agg(one)
+    rows = rows.select("bucket", *KEY, "slice", "at", "e.gone", "e.value")
+    rows = _beside(rows, F.struct("gone", "value"), "prev", True, bool(hot))
     live_before = F.coalesce(~F.col("prev.gone"), F.lit(False))
     starts = ~F.col("gone") & (~live_before | (F.col("value") != F.col("prev.value")))
-    ends = F.col("gone") & live_before
-    points = rows.filter(starts | ends).select(*KEY, "slice", "at", "gone", "value")
-    points = _beside(points, F.col("at"), "valid_to", back=False)
-    return points.filter(~F.col("gone")).select(*KEY, "value", F.col("at").alias("valid_from"), "valid_to")
+    points = rows.filter(starts | (F.col("gone") & live_before)).drop("prev")
+    points = _beside(points, F.col("at"), "valid_to", False, bool(hot))
+    return points.filter(~F.col("gone")).select(*KEY, "value", F.col("at").alias("valid_from"), "valid_to", "bucket")
 
 
 class HistoryStore:
-    """Raw changes and versions under one manifest."""
+    def __init__(self, scratch: Scratch, root: str, buckets: int = BUCKETS, hot: int = HOT):
+        self.scratch, self.hot = scratch, hot
+        self.store = BucketStore(scratch.spark, root, {"versions": VERSIONS}, buckets)
+
+    def _build(self, changes: DataFrame) -> tuple[str, list[int]]:
+        fresh = build_versions(changes, self.store.bucket(*KEY), hot_keys(changes, self.hot))
+        return self.store.write("versions", fresh)
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.store = BucketStore(spark, root, {"raw": RAW, "versions": VERSIONS}, buckets)
+    def load(self, log: DataFrame) -> None:
+        """Builds all chains of a log into an empty store."""
+        before = self.store.manifest()
+        folder, written = self._build(log)
+        self.store.commit(before, "versions", [(folder, written)], list(range(self.store.buckets)))
 
-    def apply(self, changes: DataFrame) -> list[int]:
-        """Adds a batch and rebuilds the chains of its entities; returns the touched buckets."""
+    def apply(self, batch: DataFrame, log: DataFrame) -> list[int]:
+        """Rebuilds the chains of the entities in `batch` from `log`, the raw changes with the batch among them; returns the touched buckets."""
         before = self.store.manifest()
-        changes = changes.withColumn("bucket", self.store.bucket(*KEY))
-        spread = F.pmod(F.xxhash64("at"), F.lit(2))
-        folder, written = self.store.write("raw", changes.repartition(F.col("bucket"), spread))
-        batch = self.store.read("raw", written, {"tables": {"raw": {str(b): [folder] for b in written}}})
-        if before["tables"]["raw"]:
-            keys = batch.select(*KEY, "bucket").distinct()
-            old_raw = self.store.read("raw", written, before)
-            raw = null_safe_join(old_raw, keys, (*KEY, "bucket"), "left_semi").unionByName(batch)
-            old = self.store.read("versions", written, before)
-            kept = null_safe_join(old, keys, (*KEY, "bucket"), "left_anti")
-            fresh = self._rebuilt(raw).unionByName(kept)
-        else:
-            fresh = self._rebuilt(batch)
-        spread = F.pmod(F.xxhash64("valid_from"), F.lit(2))
-        vfolder, vwritten = self.store.write("versions", fresh.repartition(F.col("bucket"), spread))
-        self.store.commit(before, {"versions": (vfolder, vwritten, written)}, {"raw": (folder, written)})
-        return written
-
-    def _rebuilt(self, raw: DataFrame) -> DataFrame:
-        return build_versions(raw).withColumn("bucket", self.store.bucket(*KEY))
+        keys = self.scratch.cut(batch.select(*KEY).distinct().withColumn("bucket", self.store.bucket(*KEY)), "touched")
+        touched = [r[0] for r in keys.select("bucket").distinct().collect()]  # at most as many as buckets
+        near = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        raw = null_safe_join(log, near.drop("bucket"), KEY, "left_semi")
+        fresh = self._build(self.scratch.cut(raw, "raw"))
+        kept = null_safe_join(self.store.read("versions", touched, before), near, (*KEY, "bucket"), "left_anti")
+        self.store.commit(before, "versions", [self.store.write("versions", kept), fresh], touched)
+        return sorted(touched)
 
     def versions(self) -> DataFrame:
         return self.store.read("versions").drop("bucket")

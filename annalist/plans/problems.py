@@ -39,7 +39,7 @@ def p2_change_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The share of a log, by id, that p6 and p7 load at first; the rest arrives as a second batch and is applied to it.
-FIRST_LOAD = 0.9
+FIRST_LOAD = 0.99
 
 
 def _cut_id(log: DataFrame) -> int:
@@ -49,14 +49,15 @@ def _cut_id(log: DataFrame) -> int:
 
 def _history(spark: SparkSession, d: str) -> history.HistoryStore:
     registry, docs = table(spark, d, "function_registry"), table(spark, d, "documentations")
-    store = history.HistoryStore(spark, Scratch(spark, "p6").path("history"))
+    scratch = Scratch(spark, "p6")
+    store = history.HistoryStore(scratch, scratch.path("history"))
     a, b = _cut_id(registry), _cut_id(docs)
 
-    def batch(r: DataFrame, c: DataFrame) -> DataFrame:
+    def changes(r: DataFrame, c: DataFrame) -> DataFrame:
         return history.to_changes(r, "function_registry", "updated_at", F.lower("content_hash")).unionByName(history.to_changes(c, "documentations", "created_at", F.col("commit_sha")))
 
-    store.apply(batch(registry.filter(F.col("id") <= a), docs.filter(F.col("id") <= b)))
-    store.apply(batch(registry.filter(F.col("id") > a), docs.filter(F.col("id") > b)))
+    store.load(changes(registry.filter(F.col("id") <= a), docs.filter(F.col("id") <= b)))
+    store.apply(changes(registry.filter(F.col("id") > a), docs.filter(F.col("id") > b)), changes(registry, docs))
     return store
 
 

@@ -81,16 +81,14 @@ class BucketStore:
         names = [x.getPath().getName() for x in fs.listStatus(p)]
         return folder, [int(n.split("=")[1]) for n in names if n.startswith("bucket=")]
 
-    def commit(self, before: dict, replaced: dict[str, tuple[str, list[int], list[int]]], added: dict[str, tuple[str, list[int]]] | None = None) -> dict:
-        """replaced: table -> (folder, buckets written, buckets touched); added: table -> (folder, buckets written), kept beside what is there."""
+    def commit(self, before: dict, table: str, written: list[tuple[str, list[int]]], touched: list[int]) -> dict:
+        """Replaces the touched buckets of a table by what was written: (folder, its buckets) per write."""
         tables = {t: {b: list(f) for b, f in of.items()} for t, of in before["tables"].items()}
-        for t, (folder, written, touched) in replaced.items():
-            for b in touched:
-                tables[t].pop(str(b), None)
-            tables[t].update({str(b): [folder] for b in written})
-        for t, (folder, written) in (added or {}).items():
-            for b in written:
-                tables[t].setdefault(str(b), []).append(folder)
+        for b in touched:
+            tables[table].pop(str(b), None)
+        for folder, buckets in written:
+            for b in buckets:
+                tables[table].setdefault(str(b), []).append(folder)
         after = {"generation": before["generation"] + 1, "tables": tables}
         fs, tmp = filesystem(self.spark, f"{self.root}/manifests/tmp-{uuid.uuid4().hex}.json")
         stream = fs.create(tmp, False)
