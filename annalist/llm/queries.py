@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import generated, secrets, syntax
+from annalist.llm import generated, secrets, sentences, syntax
 from annalist.session import Scratch
 from annalist.sources.tables import table
 
@@ -54,7 +54,16 @@ def p5_redacted_tasks(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(table(spark, d, "function_tasks").select("task_id", "file_path", "source"), "source", "file_path")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "sent_start", "sent_end")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences themselves."""
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "sent_no", "sentence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p10_found": p10_found, "p10_sentences": p10_sentences,
 }
 ORACLES: dict[str, str] = {}
