@@ -83,7 +83,7 @@ def build_versions(changes: DataFrame, bucket: Column, hot: list[int] | None = N
         sliced = rows.filter(is_hot).withColumn("slice", F.greatest(F.floor(F.col("at") / F.lit(DAY)).cast("long"), F.lit(0)))
         sliced = sliced.groupBy("bucket", *KEY, "slice", "at").agg(one).select("bucket", *KEY, "slice", "at", "e.id", "e.gone", "e.value")
         rows = rows.filter(~is_hot).select(*sliced.columns).unionByName(sliced)
-    rows = rows.repartition("bucket", "slice").groupBy("bucket", *KEY, "slice", "at").agg(one)
+    rows = (rows.repartition("bucket", "slice") if hot else rows.repartition("bucket")).groupBy("bucket", *KEY, "slice", "at").agg(one)
     rows = rows.select("bucket", *KEY, "slice", "at", "e.gone", "e.value")
     rows = _beside(rows, F.struct("gone", "value"), "prev", True, bool(hot))
     live_before = F.coalesce(~F.col("prev.gone"), F.lit(False))
