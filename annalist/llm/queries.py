@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import generated, secrets, sentences, syntax
+from annalist.llm import generated, mixing, packing, secrets, sentences, syntax
 from annalist.session import Scratch
 from annalist.sources.tables import table
 
@@ -54,6 +54,33 @@ def p5_redacted_tasks(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(table(spark, d, "function_tasks").select("task_id", "file_path", "source"), "source", "file_path")
 
 
+def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
+    return [tuple(r) for r in table(spark, d, "pack_capacities").select("capacity_id", "capacity_tokens").collect()]  # a fixed table
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Container, place and size of every text, for each capacity."""
+    return packing.pack_documents(table(spark, d, "documents"), _capacities(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p8_packed(spark, d), table(spark, d, "pack_capacities"))
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = [tuple(r) for r in table(spark, d, "mix_targets").select("source", "target_share", "max_repeats").collect()]  # a fixed table
+    return mixing.mix(Scratch(spark, "p9"), table(spark, d, "documents"), targets)
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen records and how often each is used."""
+    return _p9(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "sent_start", "sent_end")
 
@@ -64,6 +91,6 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p10_found": p10_found, "p10_sentences": p10_sentences,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences,
 }
 ORACLES: dict[str, str] = {}
