@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.sources.bucket_store import BUCKETS, BucketStore
+from annalist.sources.bucket_store import BucketStore
 
 KEY = ("repository_id", "file_path", "function_name")
 STATE = T.StructType([
@@ -41,7 +41,7 @@ def _merge(rows: DataFrame) -> DataFrame:
 class FeedTable:
     """State of a feed in a `BucketStore`; `apply` takes any batch of events."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.store = BucketStore(spark, root, {"state": STATE}, buckets)
 
     def route(self, events: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from annalist.functions.joins import null_safe_join
 from annalist.session import Scratch
-from annalist.sources.bucket_store import BUCKETS, BucketStore
+from annalist.sources.bucket_store import BucketStore
 
 KEY = ("origin", "repository_id", "file_path", "function_name")
 VERSIONS = T.StructType([
@@ -94,7 +94,7 @@ def build_versions(changes: DataFrame, bucket: Column, hot: list[int] | None = N
 
 
 class HistoryStore:
-    def __init__(self, scratch: Scratch, root: str, buckets: int = BUCKETS, hot: int = HOT):
+    def __init__(self, scratch: Scratch, root: str, buckets: int | None = None, hot: int = HOT):
         self.scratch, self.hot = scratch, hot
         self.store = BucketStore(scratch.spark, root, {"versions": VERSIONS}, buckets)
 

@@ -18,7 +18,12 @@ from pyspark.sql import types as T
 
 from annalist.session import filesystem
 
-BUCKETS = 32
+LEAST_BUCKETS = 16
+
+
+def default_buckets(spark: SparkSession) -> int:
+    """As many as the session's shuffle partitions, which are set after the data's size: a task has one bucket or few."""
+    return max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 class ConcurrentChange(RuntimeError):
@@ -28,11 +33,11 @@ class ConcurrentChange(RuntimeError):
 class BucketStore:
     """`schemas` names the tables kept under one manifest, so that a change of several tables is one commit.
 
-    `buckets` bounds the manifest and the driver's part of a change; choose it so that a bucket is about a gigabyte.
+    `buckets` bounds the manifest and the driver's part of a change; a store keeps the number it was made with.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType], buckets: int = BUCKETS):
-        self.spark, self.root, self.schemas, self.buckets = spark, root.rstrip("/"), schemas, buckets
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType], buckets: int | None = None):
+        self.spark, self.root, self.schemas, self.buckets = spark, root.rstrip("/"), schemas, buckets or default_buckets(spark)
 
     def bucket(self, *keys: str) -> Column:
         return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]), F.lit(self.buckets)).cast("int")
