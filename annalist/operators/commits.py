@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from annalist.functions.scalar import first_line, truthy
 from annalist.operators.hierarchy import Forest
+from annalist.operators.scan import running_sum
 from annalist.session import Scratch
 
 #: A listing holds at most so many commits (50 pages of 100); lanes are drawn for a listing.
@@ -30,10 +30,10 @@ def newest_first() -> list[Column]:
     return [F.coalesce("commit_date", F.lit("")).desc(), F.col("pos").asc()]
 
 
-def listing(commits: DataFrame) -> DataFrame:
-    """QRY5: normalised commits with `row`, their place in the repository's list."""
-    n = F.row_number().over(W.partitionBy("repository_id").orderBy(*newest_first())) - 1
-    return normalised(commits).withColumn("row", n)
+def listing(scratch: Scratch, commits: DataFrame) -> DataFrame:
+    """QRY5: normalised commits with `row`, their place in the repository's list; a repository of any size spreads over ranges."""
+    rows = normalised(commits).withColumn("__one", F.lit(1).cast("long"))
+    return running_sum(scratch, rows, ["repository_id"], newest_first(), "__one", "row").drop("__one").withColumn("row", F.col("row").cast("int"))
 
 
 def parent_edges(listed: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries of the append-only documentation log; its id is the clock (QRY1-4, JOI2-4, JOI6, AGG1, AGG5, AGG6, WIN1-3).
 
-Rows delivered again count once. All per-key choices are maxima by id, aggregated partially before the shuffle, so a key
-with most of the rows is no burden. Cases: a null function name is a key of its own; a null is_deleted isn't equal to
+Rows delivered again count once. Choices per key are maxima by id, aggregated partially before the shuffle; neighbours and
+numbers are found in slices of ids, so a key with most of the rows is no burden. Cases: a null function name is a key of its own; a null is_deleted isn't equal to
 false and hides a row where the reference filters for live rows, and counts as not deleted where it asks for truth.
 """
 
@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from annalist.functions.joins import null_safe_join
+from annalist.operators.scan import numbered, previous
 
 BY_NAME = ("repository_id", "function_name")
 BY_FILE = ("repository_id", "file_path", "function_name")
@@ -40,8 +40,7 @@ def last_live_docs(log: DataFrame) -> DataFrame:
 
 def history(log: DataFrame) -> DataFrame:
     """QRY2 for all names: events of a name, tombstones and all files among them, numbered from the newest."""
-    n = F.row_number().over(W.partitionBy(*BY_NAME).orderBy(F.col("id").desc()))
-    return once(log).withColumn("age", n)
+    return numbered(once(log), BY_NAME, "id", "age", newest_first=True)
 
 
 def function_history(log: DataFrame, repository_id: int, name: str | None) -> DataFrame:
@@ -52,11 +51,10 @@ def function_history(log: DataFrame, repository_id: int, name: str | None) -> Da
 
 def changes(log: DataFrame) -> DataFrame:
     """QRY3 for all commits: deleted, added (no earlier event of the function, or a tombstone) or changed."""
-    before = F.lag("is_deleted").over(W.partitionBy(*BY_FILE).orderBy("id"))
-    first = F.row_number().over(W.partitionBy(*BY_FILE).orderBy("id")) == 1
     gone = F.coalesce("is_deleted", F.lit(False))
-    kind = F.when(gone, "deleted").when(first | F.coalesce(before, F.lit(False)), "added").otherwise("changed")
-    return once(log).withColumn("change", kind)
+    rows = previous(once(log), BY_FILE, "id", gone, "__before")
+    kind = F.when(gone, "deleted").when(F.coalesce("__before", F.lit(True)), "added").otherwise("changed")
+    return rows.withColumn("change", kind).drop("__before")
 
 
 def change_counts(log: DataFrame) -> DataFrame:
