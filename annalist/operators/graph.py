@@ -5,17 +5,24 @@ reach the number's own node form its component. Components leave, the rest is co
 component's level is one above its highest dependency's. Each round is a join of edges with a table in the shared
 folder, so graphs of any size pass; rounds follow the longest path, which in call graphs is short.
 
+A graph of up to SMALL rows, which are counted first, is as large as one changeset; it is worked on in one task by linear
+algorithms, with the same results.
+
 Tables: nodes (n bigint), edges (n, dep) meaning n depends on dep. Self edges, repeated edges and edges of unknown nodes
 are ignored; an empty graph has no components.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.session import Scratch
 
+#: Rows of nodes and edges that one task may take.
+SMALL = 200_000
+
 
 def _spread(scratch: Scratch, start: DataFrame, edges: DataFrame, within: bool) -> DataFrame:
     """Carries the largest colour along edges (a -> b) until nothing changes. start: (n, c); within: only where b's colour is the same already."""
@@ -32,8 +39,89 @@ def _spread(scratch: Scratch, start: DataFrame, edges: DataFrame, within: bool)
             return now
 
 
-def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def tarjan(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
+    """node -> smallest node of its component, without recursion."""
+    to: dict[int, list[int]] = {n: [] for n in nodes}
+    for a, b in edges:
+        if a in to and b in to:
+            to[a].append(b)
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    out: dict[int, int] = {}
+    path: list[int] = []
+    place: dict[int, int] = {}
+    for root in to:
+        if root in index:
+            continue
+        work = [(root, iter(to[root]))]
+        index[root] = low[root] = len(index)
+        place[root] = len(path)
+        path.append(root)
+        while work:
+            n, rest = work[-1]
+            for m in rest:
+                if m not in index:
+                    index[m] = low[m] = len(index)
+                    place[m] = len(path)
+                    path.append(m)
+                    work.append((m, iter(to[m])))
+                    break
+                if m not in out:
+                    low[n] = min(low[n], index[m])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                if low[n] == index[n]:
+                    cut = place[n]
+                    name = min(path[cut:])
+                    out.update(dict.fromkeys(path[cut:], name))
+                    del path[cut:]
+    return out
+
+
+def peeled_levels(comps: list[int], links: list[tuple[int, int]], first: int) -> dict[int, int]:
+    """Longest chains of links x -> y by Kahn's order; raises on a cycle."""
+    level = dict.fromkeys(comps, first)
+    waits = dict.fromkeys(comps, 0)
+    back: dict[int, list[int]] = {}
+    for x, y in set(links):
+        waits[x] += 1
+        back.setdefault(y, []).append(x)
+    free = [c for c, w in waits.items() if not w]
+    for c in free:
+        for x in back.get(c, ()):
+            level[x] = max(level[x], level[c] + 1)
+            waits[x] -= 1
+            if not waits[x]:
+                free.append(x)
+    if len(free) < len(level):
+        raise ValueError("the condensation is not acyclic")
+    return level
+
+
+def _small(a: DataFrame, b: DataFrame, limit: int) -> bool:
+    """Whether both together have at most `limit` rows; counting stops there."""
+    return a.limit(limit + 1).count() + b.limit(limit + 1).count() <= limit
+
+
+def _in_one_task(points: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
+    """points (a), pairs (a, b), of counted size, in one task."""
+    rows = points.select("a", F.lit(None).cast("bigint").alias("b")).unionByName(pairs.select("a", "b")).withColumn("one", F.lit(0))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lone = pdf["b"].isna()
+        got = work([int(x) for x in pdf.loc[lone, "a"]], [(int(x), int(y)) for x, y in zip(pdf.loc[~lone, "a"], pdf.loc[~lone, "b"])])
+        return pd.DataFrame(sorted(got.items()), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.groupBy("one").applyInPandas(run, schema)
+
+
+def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(n, comp): strongly connected components named by their smallest node."""
+    if _small(nodes, edges, small):
+        points = nodes.select(F.col("n").cast("bigint").alias("a")).distinct()
+        return _in_one_task(points, edges.select(F.col("n").cast("bigint").alias("a"), F.col("dep").cast("bigint").alias("b")), tarjan, "n bigint, comp bigint")
     rest = scratch.cut(nodes.select("n").distinct(), "rest")
     both = edges.filter(F.col("n") != F.col("dep")).select(F.col("n").alias("a"), F.col("dep").alias("b")).distinct()
     live = scratch.cut(both.join(rest.withColumnRenamed("n", "a"), "a", "left_semi").join(rest.withColumnRenamed("n", "b"), "b", "left_semi"), "live")
@@ -71,18 +159,21 @@ def component_sizes(comps: DataFrame) -> DataFrame:
     return comps.groupBy("comp").agg(n.alias("size"), (n > 1).alias("is_cycle"))
 
 
-def levels(scratch: Scratch, comps: DataFrame, cedges: DataFrame) -> DataFrame:
+def levels(scratch: Scratch, comps: DataFrame, cedges: DataFrame, small: int = SMALL) -> DataFrame:
     """GRA7: (comp, level): 0 without dependency, else one above the highest dependency. A cycle among components raises."""
-    return _levels(scratch, comps.select("comp").distinct(), cedges.select(F.col("comp").alias("x"), F.col("dep_comp").alias("y")), 0)
+    return _levels(scratch, comps.select("comp").distinct(), cedges.select(F.col("comp").alias("x"), F.col("dep_comp").alias("y")), 0, small)
 
 
-def bottom_levels(scratch: Scratch, comps: DataFrame, cedges: DataFrame) -> DataFrame:
+def bottom_levels(scratch: Scratch, comps: DataFrame, cedges: DataFrame, small: int = SMALL) -> DataFrame:
     """GRA8: (comp, level): 1 without dependent, else one above the highest dependent; the scheduler's priority."""
-    return _levels(scratch, comps.select("comp").distinct(), cedges.select(F.col("dep_comp").alias("x"), F.col("comp").alias("y")), 1)
+    return _levels(scratch, comps.select("comp").distinct(), cedges.select(F.col("dep_comp").alias("x"), F.col("comp").alias("y")), 1, small)
 
 
-def _levels(scratch: Scratch, comps: DataFrame, links: DataFrame, first: int) -> DataFrame:
+def _levels(scratch: Scratch, comps: DataFrame, links: DataFrame, first: int, small: int) -> DataFrame:
     """Peels components all of whose links x -> y lead to peeled ones."""
+    if _small(comps, links, small):
+        pairs = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        return _in_one_task(comps.select(F.col("comp").alias("a")), pairs, lambda p, e: peeled_levels(p, e, first), "comp bigint, level int")
     rest, links = scratch.cut(comps, "rest"), scratch.cut(links, "links")
     out, level = None, first
     while not rest.isEmpty():

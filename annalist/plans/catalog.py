@@ -195,8 +195,9 @@ _LIST = """c as (select repository_id, sha, arg_min(coalesce(message, chr(0)), p
 l as (select repository_id, sha, substring(sha, 1, 7) as short_sha, nullif(split_part(message, chr(10), 1), chr(0)) as message, coalesce(nullif(author, ''), 'unknown') as author, nullif(commit_date, chr(0)) as commit_date, parents,
   len(parents) > 1 as is_merge, pos, row_number() over (partition by repository_id order by coalesce(nullif(commit_date, chr(0)), '') desc, pos) - 1 as row from c)"""
 _EDGES = f"with recursive {_LIST}, e as (select l.repository_id, l.sha, p.sha as parent_sha, u.i - 1 as parent_no from l, unnest(l.parents) with ordinality as u(x, i), l p where p.repository_id = l.repository_id and lower(p.sha) = lower(u.x))"
-_UP = f"""{_EDGES}, up(repository_id, head_sha, sha) as (
-  select l.repository_id, l.sha, l.sha from l join repositories r on r.id = l.repository_id and r.documented_head_sha = l.sha
+_UP = f"""{_EDGES}, h as (select l.repository_id, coalesce(max(case when r.documented_head_sha = l.sha then l.sha end), max(case when l.row = 0 then l.sha end)) as sha from l join repositories r on r.id = l.repository_id group by 1),
+up(repository_id, head_sha, sha) as (
+  select repository_id, sha, sha from h
   union select up.repository_id, up.head_sha, e.parent_sha from up join e on e.repository_id = up.repository_id and e.sha = up.sha)"""
 
 
@@ -216,10 +217,13 @@ def commit_parent_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """Of each repository's documented head, or of its newest commit where the head is none of its commits."""
     scratch, c = Scratch(spark, "ancestors"), table(spark, d, "commits")
     forest = hierarchy.peel(spark, hierarchy.commit_nodes(c), scratch)
-    listed = commits.normalised(c)
-    heads = table(spark, d, "repositories").filter(F.col("documented_head_sha").isNotNull()).select(F.col("id").alias("repository_id"), F.col("documented_head_sha").alias("head_sha"))
+    listed = _listing(spark, d)
+    marked = table(spark, d, "repositories").select(F.col("id").alias("repository_id"), "documented_head_sha")
+    pick = lambda c: F.max(F.when(c, F.col("sha")))
+    heads = listed.join(marked, "repository_id").groupBy("repository_id").agg(F.coalesce(pick(F.col("sha") == F.col("documented_head_sha")), pick(F.col("row") == 0)).alias("head_sha"))
     return commits.ancestors(scratch, forest, commits.parent_edges(listed), heads)
 
 
