@@ -270,7 +270,7 @@ def find_secrets(rows: DataFrame, origin: str, row_id: str, text: str, path: str
 
 
 def redact(rows: DataFrame, text: str, path: str | None = None) -> DataFrame:
-    """The rows with credentials masked in `text`; column `redacted` tells whether anything was."""
+    """The rows with credentials masked in `text`; column `redacted`, in the place of one of this name, tells whether anything was."""
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:

@@ -225,7 +225,7 @@ def _score(s: str, a: int, end: int, nxt: int, kind: str, mark: str, closed: boo
             return -4.0
         elif token.isdigit() and len(token) <= 2:
             w = re.search(r"(\w+)\s+\d+$", s[max(0, a - 30) : a])
-            if (w and w.group(1).lower() in _ORDINAL_AFTER) or (lower and not ident):
+            if w and w.group(1).lower() in _ORDINAL_AFTER:
                 return -6.0
     if lower and not ident:
         if closed or kind == "…":

@@ -114,7 +114,7 @@ _GO_TOP = re.compile(
 _C_DIRECTIVE = re.compile(r"^[ \t]*#[^\n]*(?:\\\n[^\n]*)*", re.M)
 _CPP_LOOSE = re.compile(r"[#\\]")
 _JS_LATE = re.compile(r"(?<![\w$.])(?:if|while|for|switch)\s*\(\)\s*(?:\Z|\})|(?<![\w$.])(?:function)\s*\*?\s*[\w$]*\s*\(\)\s*\Z|(?<![\w$.])class\s+[\w$]+\s*\Z|(?<![\w$.])import\s*\{\}\s*(?!\s*from)")
-_CPP_TAIL = re.compile(r"(?:\{\}|;|:)\s*\Z")
+_CPP_TAIL = re.compile(r"(?:\{\}|;)\s*\Z")
 
 
 def _reduced(code: str) -> str:
@@ -180,7 +180,7 @@ def syntax_error(path: str | None, source: str | None) -> str | None:
 
 
 def flag_syntax(tasks: DataFrame, path: str = "file_path", source: str = "source") -> DataFrame:
-    """Adds `language` and `syntax_problem` (null: valid, or no case)."""
+    """Adds `language` and `syntax_problem` (null: valid, or no case), in the place of columns of these names."""
 
     @F.pandas_udf("language string, syntax_problem string")
     def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -190,7 +190,8 @@ def flag_syntax(tasks: DataFrame, path: str = "file_path", source: str = "source
                 "syntax_problem": [syntax_error(p, s) for p, s in zip(paths, sources)],
             }).astype(object)
 
-    return tasks.withColumn("__s", check(F.col(path), F.col(source))).select(*tasks.columns, F.col("__s.language").alias("language"), F.col("__s.syntax_problem").alias("syntax_problem"))
+    kept = [c for c in tasks.columns if c not in ("language", "syntax_problem")]
+    return tasks.withColumn("__s", check(F.col(path), F.col(source))).select(*kept, F.col("__s.language").alias("language"), F.col("__s.syntax_problem").alias("syntax_problem"))
 
 
 def syntax_rates(flagged: DataFrame) -> DataFrame:
