@@ -30,12 +30,16 @@ _GO_WORDS = {"range", "go", "defer", "select"}
 _ID = r"[A-Za-z_$][\w$]*"
 _DEFS = {
     "go": re.compile(rf"\bfunc\s+(?:\([^()]*\)\s*)?({_ID})\s*(?:\[[^\]]*\]\s*)?\("),
-    "java": re.compile(rf"(?<![\w$.@])(?<!\bnew )(?:[\w$<>\[\],.?&]+\s+)*?({_ID})\s*\("),
+    "java": re.compile(rf"(?<![\w$.@])({_ID})\s*\("),
     "cpp": re.compile(r"(?<![\w.>])((?:~?[A-Za-z_]\w*(?:<[^<>;(){}]*>)?::)*(?:operator\s*[^\s(]{1,3}|~?[A-Za-z_]\w*))\s*\("),
     "javascript": re.compile(rf"\bfunction\b\s*\*?\s*({_ID})?\s*(?:<[^<>]*>\s*)?\(|=>|(?<![\w$.])(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*(#?{_ID})\s*(?:<[^<>()]*>\s*)?\("),
 }
 _DEFS["typescript"] = _DEFS["javascript"]
 _ASSIGNED = re.compile(rf"\b(?:const|let|var)\s+({_ID})\s*(?::[^=;{{}}]*)?=\s*(?:async\s*)?(?:<[^<>]*>\s*)?\Z")
+_ARROW_HEAD = re.compile(rf"(?:\)\s*:\s*[^=;(){{}}]+|{_ID})$")
+_NEXT_STATEMENT = re.compile(r"\s*(?:const|let|var|function|export|import|class|return|\Z)")
+#: Characters before a function in which its variable and modifiers stand.
+NEAR = 400
 _CALL = {
     "javascript": re.compile(rf"(\bnew\s+)?((?:{_ID}\s*\??\.\s*)*#?{_ID})\s*(?:\?\.)?\("),
     "go": re.compile(rf"((?:{_ID}\s*\.\s*)*{_ID})\s*\("),
@@ -46,13 +50,17 @@ _CALL["typescript"] = _CALL["javascript"]
 
 
 def _blanked(lang: str, s: str) -> str:
-    """Code of the same length: literals and comments as blanks, their line breaks kept."""
+    """Code of the same length: literals as quotes, comments as blanks, their line breaks kept."""
     out, pos = [], 0
     for p in scan(lang, s):
-        a, b = (p.start, p.end) if p.kind in "sc" or lang == "python" else (p.body_start, p.body_end)
-        out += [s[pos:a], re.sub(r"[^\n]", " ", s[a:b])]
-        pos = b
-    return "".join([*out, s[pos:]]).replace("`", " ")
+        fill = " " if p.kind == "c" else '"'
+        out += [s[pos : p.start], re.sub(r"[^\n]", fill, s[p.start : p.end])]
+        if p.kind == "t" and not s[p.start : p.end].endswith("`"):
+            out[-1] = out[-1][:-2] + '"{'  # the template goes on behind an expression
+        if p.kind == "t" and s[p.start] == "}":
+            out[-1] = "}" + out[-1][1:]
+        pos = p.end
+    return "".join([*out, s[pos:]])
 
 
 def _pairs(code: str) -> dict[int, int]:
@@ -104,33 +112,33 @@ def _body(lang: str, code: str, close: int, arrow: bool, pairs: dict[int, int])
 def _brace_functions(lang: str, s: str) -> list[dict]:
     code = _blanked(lang, s)
     pairs = _pairs(code)
+    opener = {b: a for a, b in pairs.items()}
     found = []  # (start, end, name or None, error)
     heads = set()  # where parameters of definitions open
     script = lang in ("javascript", "typescript")
     for m in _DEFS[lang].finditer(code):
         tok = m.group()
         if tok == "=>":
-            before = code[: m.start()].rstrip()
-            start = None
-            if before.endswith(")"):
-                opens = [a for a, b in pairs.items() if b == len(before) - 1]
-                start = opens[0] if opens else None
+            at = m.start()
+            while at > 0 and code[at - 1].isspace():
+                at -= 1
+            start = opener.get(at - 1) if at and code[at - 1] == ")" else None
             if start is None:
-                w = re.search(rf"(?:\)\s*:\s*[^=;(){{}}]+|{_ID})$", before)
+                low = max(0, at - NEAR)
+                w = _ARROW_HEAD.search(code[low:at])
                 if not w:
                     continue
-                start = w.start()
-                if w.group().startswith(")"):
-                    opens = [a for a, b in pairs.items() if b == w.start()]
-                    if not opens:
+                start = low + w.start()
+                if code[start] == ")":
+                    start = opener.get(start)
+                    if start is None:
                         continue
-                    start = opens[0]
-            head = code[:start].rstrip()
+            head = code[max(0, start - NEAR) : start].rstrip()
             if head.endswith("async"):
-                start = len(head) - 5
-                head = head[:-5]
-            name = _ASSIGNED.search(head.rstrip() + " ")
-            name = name.group(1) if name else None
+                start = code.rindex("async", 0, start)
+                head = head[:-5].rstrip()
+            got = _ASSIGNED.search(head + " ")
+            name = got.group(1) if got else None
             i = re.compile(r"\s*").match(code, m.end()).end()
             if i < len(code) and code[i] == "{":
                 end, error = (pairs[i] + 1, False) if i in pairs else (len(code), True)
@@ -144,7 +152,7 @@ def _brace_functions(lang: str, s: str) -> list[dict]:
                             break
                         end = pairs[end] + 1
                         continue
-                    if c in ")]};," or c == "\n" and re.match(r"\s*(?:const|let|var|function|export|import|class|return|\Z)", code[end:]):
+                    if c in ")]};," or c == "\n" and _NEXT_STATEMENT.match(code, end):
                         break
                     end += 1
             found.append((start, end, name, error))
@@ -172,8 +180,11 @@ def _brace_functions(lang: str, s: str) -> list[dict]:
                     continue
                 start = start - len(lead.lstrip()) if lead.strip() else start
             elif lang == "java":
-                if before.endswith((".", "new", "=", "(", ",", "return", "->")):
+                if re.search(r"(?:[.=(,&|?!+]|->|\bnew(?:\s+[\w.<>]+)?|\breturn|\belse|\bthrow)$", before):
                     continue
+                low = max(0, start - NEAR)
+                lead = re.search(r"[^;{}]*\Z", code[low:start]).group().lstrip()
+                start -= len(lead)
             elif before.endswith((".", "new", "=", "(", ":", "?", "&&", "||", "return", "=>")) or (before and before[-1] not in "{};)" and not before.endswith(",")):
                 continue
         if keyword:
