@@ -33,7 +33,7 @@ from annalist.session import Scratch
 #: Lines in a window, and the share of a file's (or a library file's) windows that makes a copy.
 WINDOW, COPY_SHARE = 3, 0.6
 #: Share of data from which a file is data; length of a line of code that nobody writes, and the blanks it may have.
-DATA_SHARE, LONG_LINE, FEW_BLANKS = 0.5, 300, 0.12
+DATA_SHARE, LONG_LINE, FEW_BLANKS = 0.5, 160, 0.12
 
 #: Lines from which repetition counts, and the share of different pairs of lines below which code is a filled-in pattern.
 REPEAT_LINES, REPEAT_SHARE = 12, 0.35
