@@ -62,6 +62,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def close(self) -> None:
+        """Removes all of the query's tables; only once its result has been written or read."""
+        remove(self.spark, self.root)
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             path = getattr(df, "_scratch_path", None)
