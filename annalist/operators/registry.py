@@ -76,3 +76,8 @@ def delete_counts(docs: DataFrame, registry: DataFrame) -> DataFrame:
     d = docs.groupBy("repository_id").agg(F.count(F.lit(1)).alias("docs"))
     r = registry.groupBy("repository_id").agg(F.count(F.lit(1)).alias("functions"))
     return d.join(r, "repository_id", "full_outer").select("repository_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("functions", F.lit(0)).alias("functions"))
+
+
+def without_repositories(rows: DataFrame, repositories: DataFrame) -> DataFrame:
+    """SNK6: what is left of a relation after the data of `repositories` (repository_id) is deleted for good; written as a new version."""
+    return rows.join(repositories.select("repository_id").distinct(), "repository_id", "left_anti")

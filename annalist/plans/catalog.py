@@ -151,6 +151,23 @@ def delete_repo_counts(spark: SparkSession, d: str) -> DataFrame:
     return registry.delete_counts(table(spark, d, "documentations").select("repository_id"), table(spark, d, "function_registry").select("repository_id"))
 
 
+@query("select d.* from (select id, repository_id, file_path, function_name from documentations) d left join repositories r on r.id = d.repository_id where coalesce(r.is_active, false)")
+def docs_of_active_repos(spark: SparkSession, d: str) -> DataFrame:
+    """The log after the data of all inactive repositories is deleted."""
+    off = table(spark, d, "repositories").filter(~F.coalesce("is_active", F.lit(False))).select(F.col("id").alias("repository_id"))
+    return registry.without_repositories(table(spark, d, "documentations").select("id", "repository_id", "file_path", "function_name"), off)
+
+
+@query(f"""with {_REG}, {_REMOVED}, t as (select distinct r.repository_id, r.file_path, r.function_name, m.commit_sha from reg r join removed m
+on r.repository_id is not distinct from m.repository_id and r.file_path is not distinct from m.file_path where r.del = 'false')
+select (select max(id) from documentations) + row_number() over (order by repository_id, file_path, function_name, commit_sha) as id, * from t""")
+def appended_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """SNK1 and SNK2: the tombstones of removed files as new events, with the ids that follow."""
+    gone = registry.of_removed_files(_registry(spark, d), _removed(spark, d)).distinct()
+    rows = registry.tombstones(gone).withColumn("seq", F.struct("repository_id", "file_path", "function_name", "commit_sha"))
+    return logs.append(_log(spark, d), rows, Scratch(spark, "append")).select("id", "repository_id", "file_path", "function_name", "commit_sha")
+
+
 # repositories --------------------------------------------------------------------------------------------------------
 
 
