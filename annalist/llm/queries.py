@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from annalist.llm import generated, mixing, packing, secrets, sentences, syntax
 from annalist.session import Scratch
-from annalist.sources.tables import table
+from annalist.sources.tables import spread, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    flagged = syntax.flag_syntax(table(spark, d, "function_tasks").select("task_id", "file_path", "source"))
+    flagged = syntax.flag_syntax(spread(table(spark, d, "function_tasks").select("task_id", "file_path", "source")))
     return flagged.filter(F.col("syntax_problem").isNotNull()).select("task_id")
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.syntax_rates(syntax.flag_syntax(table(spark, d, "function_tasks").select("repository_id", "file_path", "source")))
+    return syntax.syntax_rates(syntax.flag_syntax(spread(table(spark, d, "function_tasks").select("repository_id", "file_path", "source"))))
 
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:
-    return generated.not_hand_written(table(spark, d, "function_tasks"), table(spark, d, "library_files"), Scratch(spark, "p4"))
+    return generated.not_hand_written(spread(table(spark, d, "function_tasks").select("task_id", "repository_id", "file_path", "source")), table(spark, d, "library_files"), Scratch(spark, "p4"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +44,8 @@ def p4_shared_subtrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    tasks = secrets.find_secrets(table(spark, d, "function_tasks"), "function_tasks", "task_id", "source", "file_path")
-    docs = secrets.find_secrets(table(spark, d, "documentations"), "documentations", "id", "content").distinct()
+    tasks = secrets.find_secrets(spread(table(spark, d, "function_tasks").select("task_id", "file_path", "source")), "function_tasks", "task_id", "source", "file_path")
+    docs = secrets.find_secrets(spread(table(spark, d, "documentations").select("id", "content").filter(secrets.may_hold("content"))), "documentations", "id", "content").distinct()
     return tasks.unionByName(docs)
 
 
@@ -69,7 +69,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = [tuple(r) for r in table(spark, d, "mix_targets").select("source", "target_share", "max_repeats").collect()]  # a fixed table
-    return mixing.mix(Scratch(spark, "p9"), table(spark, d, "documents"), targets)
+    return mixing.mix(Scratch(spark, "p9"), spread(table(spark, d, "documents").select("doc_id", "source", "text")), targets)
 
 
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
@@ -82,12 +82,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "sent_start", "sent_end")
+    return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "sent_start", "sent_end")
 
 
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences themselves."""
-    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "sent_no", "sentence")
+    return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "sent_no", "sentence")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
