@@ -12,7 +12,7 @@ from annalist.operators import calls, commits, docloop, extract, graph, hierarch
 from annalist.operators.scan import numbered
 from annalist.plans.fixtures import cte, view
 from annalist.session import Scratch
-from annalist.sources.tables import table
+from annalist.sources.tables import spread, table
 from annalist.streaming import push
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,7 +447,7 @@ def extract_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _task_functions(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract(table(spark, d, "function_tasks").select("task_id", "repository_id", "file_path", "source"))
+    return extract.extract(spread(table(spark, d, "function_tasks").select("task_id", "repository_id", "file_path", "source")))
 
 
 @query()
