@@ -6,7 +6,9 @@ its sorted children, level by level up to the repository. The copies of known li
 
 - A file is vendored if its hash, or the larger part of its windows (or of the library file's), is a library's. Altered
   copies keep most windows; a few shared lines of boilerplate stay far below.
-- A directory whose hash occurs in repositories of different owners is a shared subtree; `shared_subtrees` reports them.
+- A file or directory whose hash occurs in repositories of different owners, or in one and in a library, is a shared
+  subtree; all files below it are vendored, unless it holds less than SHARED_WINDOWS windows, which are equal by chance.
+  Files without code take no part. `shared_subtrees` reports the directories.
 - Generated files say so in a comment that stands before the code, in so many words at the comment's beginning, or are
   laid out as one pattern filled in again and again.
 - Minified files have lines of code far longer than people write, with few blanks; bundles carry a loader's names.
@@ -32,6 +34,8 @@ from annalist.session import Scratch
 
 #: Lines in a window, and the share of a file's (or a library file's) windows that makes a copy.
 WINDOW, COPY_SHARE = 3, 0.6
+#: Windows that a shared subtree holds at least.
+SHARED_WINDOWS = 5
 #: Share of data from which a file is data; length of a line of code that nobody writes, and the blanks it may have.
 DATA_SHARE, LONG_LINE, FEW_BLANKS = 0.5, 160, 0.12
 
@@ -169,13 +173,42 @@ def find_vendored(leaves: DataFrame, library: DataFrame, scratch: Scratch) -> Da
     return best.select("task_id", (-F.col("b.neg")).alias("lib_file_id"), F.col("b.share").alias("share"))
 
 
-def not_hand_written(tasks: DataFrame, library: DataFrame, scratch: Scratch) -> DataFrame:
-    """(task_id, repository_id, file_path, reason, lib_file_id, share); reason null: hand-written. Files in no language are left out."""
+def find_shared(leaves: DataFrame, library: DataFrame, owners: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(task_id): files in or under subtrees that trees of different owners have in common; owners: (tree, owner) of repositories; if None, all count as one owner's.
+
+    A library's versions are trees of one owner. Of several versions of a path one is in the tree, and only its equals are
+    marked. Files climb to the directories above them by an explode, so no task holds a tree.
+    """
+    named = [F.col(c) for c in ("library", "lib_version") if c in library.columns]
+    code = leaves.filter(F.size("windows") > 0).select("task_id", F.col("repository_id").cast("string").alias("tree"), F.col("file_path").alias("path"), "content", F.size("windows").alias("n"))
+    lib = library.filter(F.size("windows") > 0).select(F.concat_ws(" ", F.lit("library"), *named).alias("tree"), F.concat_ws(" ", F.lit("library"), *named[:1]).alias("owner"), F.col("file_name").alias("path"), "content")
+    own = lib.select("tree", "owner").distinct()
+    of = owners.select(F.col("tree").cast("string").alias("tree"), "owner") if owners is not None else code.select("tree", F.lit("").alias("owner"))
+    own = scratch.cut(own.unionByName(of.distinct()), "owners")
+    files = code.select("tree", "path", "content").unionByName(lib.select("tree", "path", "content")).groupBy("tree", "path").agg(F.max("content").alias("content"))
+    files = scratch.cut(files, "files")
+    nodes = files.select("tree", F.col("path").alias("dir"), F.col("content").alias("hash"), F.lit(1).cast("long").alias("files"))
+    alike = scratch.cut(shared_subtrees(nodes, own).select(F.col("hash").alias("content")), "alike")
+    single = code.filter(F.col("n") >= SHARED_WINDOWS).join(alike, "content", "left_semi").select("task_id")
+    dirs = scratch.cut(merkle_directories(files, scratch), "dirs")
+    shared = scratch.cut(dirs.join(shared_subtrees(dirs, own).select("hash"), "hash", "left_semi").select("tree", "dir").distinct(), "shared")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    below = code.join(files, ["tree", "path", "content"], "left_semi").select("task_id", "tree", "path", "n", F.explode(above).alias("dir")).join(shared, ["tree", "dir"])
+    below = scratch.cut(below, "below")
+    once = below.groupBy("tree", "dir", "path").agg(F.max("n").alias("n"))
+    much = once.groupBy("tree", "dir").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED_WINDOWS)
+    return below.join(much.select("tree", "dir"), ["tree", "dir"], "left_semi").select("task_id").unionByName(single).distinct()
+
+
+def not_hand_written(tasks: DataFrame, library: DataFrame, scratch: Scratch, owners: DataFrame | None = None) -> DataFrame:
+    """(task_id, repository_id, file_path, reason, lib_file_id, share); reason null: hand-written. Files in no language are left out. owners: as in `find_shared`."""
     leaves = scratch.cut(describe(tasks, ["task_id", "repository_id"], "file_path", "source"), "leaves")
-    lib = describe(library, ["lib_file_id"], "file_name", "source")
+    lib = scratch.cut(describe(library, ["lib_file_id", *(c for c in ("library", "lib_version") if c in library.columns)], "file_name", "source"), "library_leaves")
     found = find_vendored(leaves, lib, scratch)
-    rows = leaves.select("task_id", "repository_id", "file_path", "kind").join(found, "task_id", "left")
-    reason = F.when(F.col("lib_file_id").isNotNull(), F.lit("vendored")).otherwise(F.col("kind"))
+    shared = find_shared(leaves, lib, owners, scratch).withColumn("shared", F.lit(True))
+    rows = leaves.select("task_id", "repository_id", "file_path", "kind").join(found, "task_id", "left").join(shared, "task_id", "left")
+    reason = F.when(F.col("lib_file_id").isNotNull() | F.col("shared"), F.lit("vendored")).otherwise(F.col("kind"))
     return rows.select("task_id", "repository_id", "file_path", reason.alias("reason"), "lib_file_id", "share")
 
 
@@ -193,7 +226,7 @@ def merkle_directories(leaves: DataFrame, scratch: Scratch, max_depth: int = 64)
     if deepest > max_depth:
         raise ValueError(f"paths have {deepest} levels")
     done = None
-    for level in range(deepest, 1, -1):
+    for level in range(deepest, 0, -1):
         here = pending.filter(F.col("level") == level) if done is None else pending.filter(F.col("level") == level).unionByName(done.filter(F.col("level") == level))
         cut = F.length("at") - F.length(F.substring_index("at", "/", -1)) - 1
         up = here.select("tree", F.expr("substring(`at`, 1, length(`at`) - length(substring_index(`at`, '/', -1)) - 1)").alias("dir"), F.xxhash64(F.substring_index("at", "/", -1), "h").alias("c"), "files")

@@ -21,8 +21,13 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_rates(syntax.flag_syntax(spread(table(spark, d, "function_tasks").select("repository_id", "file_path", "source"))))
 
 
+def _owners(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "repositories").select(F.col("id").alias("tree"), F.substring_index("full_name", "/", 1).alias("owner"))
+
+
 def _p4(spark: SparkSession, d: str) -> DataFrame:
-    return generated.not_hand_written(spread(table(spark, d, "function_tasks").select("task_id", "repository_id", "file_path", "source")), table(spark, d, "library_files"), Scratch(spark, "p4"))
+    tasks = spread(table(spark, d, "function_tasks").select("task_id", "repository_id", "file_path", "source"))
+    return generated.not_hand_written(tasks, table(spark, d, "library_files"), Scratch(spark, "p4"), _owners(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +44,7 @@ def p4_shared_subtrees(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "p4")
     leaves = generated.describe(table(spark, d, "function_tasks"), ["repository_id"], "file_path", "source")
     dirs = generated.merkle_directories(leaves.select(F.col("repository_id").alias("tree"), F.col("file_path").alias("path"), "content"), scratch)
-    owners = table(spark, d, "repositories").select(F.col("id").alias("tree"), F.substring_index("full_name", "/", 1).alias("owner"))
-    return generated.shared_subtrees(dirs, owners)
+    return generated.shared_subtrees(dirs, _owners(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -51,3 +51,21 @@ def test_merkle_directories(spark, scratch):
     assert sorted(r["files"] for r in g.shared_subtrees(d, owners).collect()) == [1, 2]
     assert g.shared_subtrees(d, spark.createDataFrame([(1, "o"), (2, "o"), (3, "o")], "tree bigint, owner string")).count() == 0
     assert g.merkle_directories(spark.createDataFrame([], "tree bigint, path string, content bigint"), scratch).count() == 0
+
+
+def test_shared_subtrees_are_vendored(spark, scratch):
+    """Copies among repositories of different owners that no library file holds; the rest stays hand-written."""
+    a, b = HAND.replace("k", "p"), HAND.replace("k", "q")
+    own = [HAND.replace("g(x)", f"own_{i}(x)").replace("use(", f"use_{i}(") for i in range(4)]
+    tasks = [(10, 1, "x/dep/a.py", a), (11, 1, "x/dep/s/b.py", b), (12, 1, "m.py", own[0]), (20, 2, "y/z/a.py", a), (21, 2, "y/z/s/b.py", b), (22, 2, "m.py", own[1]), (30, 3, "k/c.py", own[2]), (31, 3, "e/__init__.py", "\n"), (40, 4, "j/c.py", own[2]), (41, 4, "e/__init__.py", "\n"), (42, 4, "n/t.py", "import os\n"), (50, 2, "n/t.py", "import os\n")]
+    t, l = frames(spark, tasks, [(5, "a.py", "def other():\n    return 1\n")])
+    owners = spark.createDataFrame([(1, "o1"), (2, "o2"), (3, "o3"), (4, "o3")], "tree bigint, owner string")
+    got = {r["task_id"]: (r["reason"], r["lib_file_id"]) for r in g.not_hand_written(t, l, scratch, owners).collect()}
+    assert {k for k, v in got.items() if v == ("vendored", None)} == {10, 11, 20, 21}
+    assert all(v == (None, None) for k, v in got.items() if k not in (10, 11, 20, 21)) and len(got) == len(tasks)
+
+
+def test_equal_repositories_up_to_the_root(spark, scratch):
+    d = g.merkle_directories(spark.createDataFrame([(1, "a.py", 1), (1, "x/b.py", 2), (2, "a.py", 1), (2, "x/b.py", 2), (3, "y/a.py", 1), (3, "y/x/b.py", 2)], "tree bigint, path string, content bigint"), scratch)
+    by = {(r["tree"], r["dir"]): r["hash"] for r in d.collect()}
+    assert by[(1, "")] == by[(2, "")] == by[(3, "y")] != by[(3, "")]
