@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from annalist.operators.hierarchy import Forest
 from annalist.operators.scan import running_sum
 from annalist.session import Scratch
 
-#: A listing holds at most so many commits (50 pages of 100); lanes are drawn for a listing.
-LISTED = 5000
+#: Rows of a repository's list that one task draws at a time.
+RANGE = 50_000
 
 
 def normalised(commits: DataFrame) -> DataFrame:
@@ -91,30 +93,74 @@ def gap(listed: DataFrame, repositories: DataFrame) -> DataFrame:
     return rows.select("repository_id", "sha", (F.coalesce(F.col("mark") - 1, F.col("last")) - F.col("row")).alias("step"))
 
 
-def assign_lanes(rows: list[tuple[str, list[str]]]) -> list[int]:
-    """GRA10 over (sha, parents) newest first: the leftmost lane kept for a commit, else the first free one; the first parent inherits it, others reserve their own."""
-    lanes: list[str | None] = []
+def assign_lanes(rows: list[tuple[str, list[str]]], lanes: list[str | None] | None = None) -> list[int]:
+    """GRA10 over (sha, parents) newest first: the leftmost lane kept for a commit, else the first free one; the first parent inherits it, others reserve their own.
+
+    lanes: for each lane the commit it is kept for, None if free, as the rows before have left them; it is carried on in place.
+    """
+    lanes = [] if lanes is None else lanes
+    free = [i for i, sha in enumerate(lanes) if sha is None]
+    kept: dict[str, list[int]] = {}
+    for i, sha in enumerate(lanes):
+        if sha is not None:
+            kept.setdefault(sha, []).append(i)
     out = []
-    free = lambda: lanes.index(None) if None in lanes else (lanes.append(None) or len(lanes) - 1)
+
+    def first_free() -> int:
+        if free:
+            return heapq.heappop(free)
+        lanes.append(None)
+        return len(lanes) - 1
+
     for sha, parents in rows:
-        mine = lanes.index(sha) if sha in lanes else free()
-        for i, held in enumerate(lanes):
-            if held == sha:
+        own = kept.pop(sha, None) or [first_free()]
+        mine = min(own)
+        for i in own:
+            if i != mine:
                 lanes[i] = None
+                heapq.heappush(free, i)
         out.append(mine)
         lanes[mine] = parents[0] if parents else None
+        if lanes[mine] is None:
+            heapq.heappush(free, mine)
+        else:
+            kept.setdefault(lanes[mine], []).append(mine)
         for p in parents[1:]:
-            if p not in lanes:
-                lanes[free()] = p
+            if p is not None and p not in kept:
+                i = first_free()
+                lanes[i] = p
+                kept[p] = [i]
     return out
 
 
-def lanes(listed: DataFrame) -> DataFrame:
-    """GRA10: (repository_id, row, sha, lane) of the newest LISTED commits of each repository; the order of the list decides, so a list is one group, of bounded size."""
+def lanes(scratch: Scratch, listed: DataFrame, size: int = RANGE) -> DataFrame:
+    """GRA10: (repository_id, row, sha, lane) of all commits.
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        pdf["lane"] = assign_lanes([(s, list(p)) for s, p in zip(pdf["sha"], pdf["parents"])])
-        return pdf[["repository_id", "row", "sha", "lane"]]
+    The order of a list decides, so its ranges of `size` rows are drawn one after another, those of all repositories at
+    the same time. A range starts with the lanes that the one before has left, a row without sha and number.
+    """
+    cols = "repository_id bigint, row int, sha string, lane int, open array<string>"
 
-    return listed.filter(F.col("row") < LISTED).select("repository_id", "row", "sha", "parents").groupBy("repository_id").applyInPandas(draw, "repository_id bigint, row int, sha string, lane int")
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, own = pdf[pdf["row"].isna()], pdf[pdf["row"].notna()].sort_values("row")
+        open_ = list(before["parents"].iloc[0]) if len(before) else []
+        own = own.assign(lane=assign_lanes([(s, list(p)) for s, p in zip(own["sha"], own["parents"])], open_), open=None)
+        out = own[["repository_id", "row", "sha", "lane", "open"]]
+        if len(own):
+            left = pd.DataFrame({"repository_id": [pdf["repository_id"].iloc[0]], "row": [None], "sha": [None], "lane": [None], "open": [open_]})
+            out = pd.concat([out.astype(object), left.astype(object)])
+        return out
+
+    rows = listed.select("repository_id", "row", "sha", "parents")
+    last = rows.agg(F.max("row")).first()[0] or 0
+    done, left = None, None
+    for at in range(0, last + 1, size):
+        part = rows.filter((F.col("row") >= at) & (F.col("row") < at + size))
+        given = part if left is None else part.unionByName(left)
+        drawn = given.groupBy("repository_id").applyInPandas(draw, cols)
+        if last >= size:
+            drawn = scratch.cut(drawn, "lanes")
+        left = drawn.filter(F.col("row").isNull()).select("repository_id", "row", "sha", F.col("open").alias("parents"))
+        own = drawn.filter(F.col("row").isNotNull()).select("repository_id", "row", "sha", "lane")
+        done = own if done is None else done.unionByName(own)
+    return done

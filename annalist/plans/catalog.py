@@ -293,12 +293,12 @@ def advance_head(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def commit_lanes(spark: SparkSession, d: str) -> DataFrame:
-    return commits.lanes(_listing(spark, d)).withColumn("x", lane_x(F.col("lane"))).withColumn("y", row_y(F.col("row")))
+    return commits.lanes(Scratch(spark, "lanes"), _listing(spark, d)).withColumn("x", lane_x(F.col("lane"))).withColumn("y", row_y(F.col("row")))
 
 
 @query()
 def graph_widths(spark: SparkSession, d: str) -> DataFrame:
-    return commits.lanes(_listing(spark, d)).groupBy("repository_id").agg(graph_width(F.max("lane")).alias("width"))
+    return commits.lanes(Scratch(spark, "lanes"), _listing(spark, d)).groupBy("repository_id").agg(graph_width(F.max("lane")).alias("width"))
 
 
 # pushes, calls, components -------------------------------------------------------------------------------------------

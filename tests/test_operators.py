@@ -84,6 +84,33 @@ def test_lanes():
     assert commits.assign_lanes([("o", ["x", "y", "z"]), ("y", []), ("n", []), ("z", []), ("x", [])]) == [0, 1, 1, 2, 0]
 
 
+def plain_lanes(rows):
+    lanes, out = [], []
+    for sha, parents in rows:
+        mine = lanes.index(sha) if sha in lanes else lanes.index(None) if None in lanes else len(lanes)
+        lanes = [None if x == sha else x for x in lanes] + [None] * (mine == len(lanes))
+        out.append(mine)
+        lanes[mine] = parents[0] if parents else None
+        for p in parents[1:]:
+            if p not in lanes:
+                i = lanes.index(None) if None in lanes else len(lanes)
+                lanes[i : i + 1] = [p]
+    return out
+
+
+def test_lanes_of_all_rows(spark, scratch):
+    r = random.Random(3)
+    lists = {}
+    for repo, n in ((1, 6000), (2, 40), (None, 15), (3, 7)):
+        lists[repo] = [(f"s{i}", [f"s{i + r.randrange(1, 9)}" for _ in range(r.choice([0, 1, 1, 1, 2, 3]))]) for i in range(n)]
+    df = spark.createDataFrame([(k, i, s, p) for k, x in lists.items() for i, (s, p) in enumerate(x)], "repository_id bigint, row int, sha string, parents array<string>")
+    want = {(k, i, s): lane for k, x in lists.items() for i, ((s, _), lane) in enumerate(zip(x, plain_lanes(x)))}
+    for got in (commits.lanes(scratch, df), commits.lanes(scratch, df.filter("row < 40"), 7)):
+        rows = {(x["repository_id"], x["row"], x["sha"]): x["lane"] for x in got.collect()}
+        assert len(rows) in (len(want), 102) and all(want[k] == v for k, v in rows.items())
+    assert commits.lanes(scratch, df).count() == len(want) and commits.lanes(scratch, df.limit(0)).count() == 0
+
+
 def test_loop_and_levels(spark, scratch):
     def generate(code, context, issues):
         if code == "boom":
