@@ -25,25 +25,21 @@ from pyspark.sql import functions as F
 
 from annalist.functions.lexing import language_of, scan
 
-#: What every text with a credential contains, for Java's and Python's regular expressions.
-SIGN = (
-    r"(?i)passw|passe|passphrase|pwd|\bpw\b|[_.\-]pw\b|pass\b|[a-z]Pw\b|kennwort|secret|token|api.?key|key\b|key[\"'`]|creds?\b|credential|bearer|basic |auth|jeton|schl(?:ue|ü)ssel|clave|contrase|senha"
-    r"|PRIVATE KEY|://[^\s/@]*:[^\s/@]+@|AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|glpat-"
-)
-_SIGN = re.compile(SIGN)
-
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S])*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s@/\"'`]+)@[\w.\[-]")
 _SCHEME = re.compile(r"\b(bearer|basic|token)[ \t]+([A-Za-z0-9_\-.~+/:]{8,}=*)", re.I)
-_PARAM = re.compile(r"[?&;](?:[\w-]*(?:token|key|secret|password|passwd|pwd|auth|sig|signature))=([^&\s\"'`<>#)\]]+)", re.I)
+_PARAM_WORDS = "token|key|secret|password|passwd|pwd|auth|sig|signature"
+_PARAM = re.compile(rf"[?&;](?:[\w-]*(?:{_PARAM_WORDS}))=([^&\s\"'`<>#)\]]+)", re.I)
 #: Formats of widely used tokens.
 _KNOWN = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9_])|gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9_])|github_pat_[A-Za-z0-9_]{40,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}[A-Za-z0-9]"
     r"|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})"
 )
 _PAIR = re.compile(r"(?<![\w$.-])([A-Za-z_][\w.\-]*)[\"'`]?[ \t]*(?:=(?![=>~])|:(?![:=/]))[ \t]*(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`|([^\s\"'`,;<>()\[\]{}&|][^\s\"'`,;<>()\[\]{}&|]*))")
-_IS = re.compile(r"\b(pass(?:word|phrase|wd|code)?|pwd|secret|token|(?:api|access|secret) ?key|key|credential|passwort|kennwort|contraseña|mot de passe)s?(?:[ \t]+(?:is|was|to|ist|es|est|lautet))?[ \t:]+(?:\"([^\"\s]+)\"|'([^'\s]+)'|`([^`\s]+)`)", re.I)
-_CLI = re.compile(r"(?<!\S)--?((?:[\w-]*-)?(?:password|passwd|pass|token|secret|api-?key|apikey))[ =][\"']?([^\s\"'`]+)", re.I)
+_IS_WORDS = "pass(?:word|phrase|wd|code)?|pwd|secret|token|(?:api|access|secret) ?key|key|credential|passwort|kennwort|contraseña|mot de passe"
+_IS = re.compile(rf"\b({_IS_WORDS})s?(?:[ \t]+(?:is|was|to|ist|es|est|lautet))?[ \t:]+(?:\"([^\"\s]+)\"|'([^'\s]+)'|`([^`\s]+)`)", re.I)
+_CLI_WORDS = "password|passwd|pass|token|secret|api-?key|apikey"
+_CLI = re.compile(rf"(?<!\S)--?((?:[\w-]*-)?(?:{_CLI_WORDS}))[ =][\"']?([^\s\"'`]+)", re.I)
 _USER = re.compile(r"(?<!\S)-u[ \t]+[\"']?[\w.@-]+:([^\s\"'`]+)")
 
 #: Words of identifiers. A strong word names a credential; a weak one does for values that look random.
@@ -72,6 +68,31 @@ _TOKENISH = re.compile(r"^[A-Za-z0-9_\-.~+/:=|]{16,}$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
 
+def _words_sign() -> str:
+    """What an identifier contains that has one of the words above, written as _WORDS takes words: small, capitalised or in capitals."""
+    words = sorted(_STRONG | _WEAK | {"keys", "passe"})
+    small, cap, upper = ("|".join(f(w) for w in words) for f in (str, str.capitalize, str.upper))
+    starts = ["".join(sorted({f(w)[0] for w in words})) for f in (str, str.upper)]
+    lower, capitals = "a-zäöüßñ", "A-ZÄÖÜ"
+    return (
+        f"(?<![{lower}{capitals}])(?=[{starts[0]}])(?:{small})(?![{lower}])"
+        f"|(?=[{starts[1]}])(?:(?:{cap})(?![{lower}])|(?<![{capitals}])(?:{upper})(?![{lower}]|[{capitals}](?![{lower}])))"
+    )
+
+
+def _any(words: str) -> str:
+    """The alternatives behind a look at their first letters, which spares trying each at every place."""
+    return f"(?=[{''.join(sorted(set(re.findall(r'(?:^|[|(:])([a-z])', words))))}])(?:{words})"
+
+
+#: What every text with a credential contains, from the detectors' own words and forms, for Java's and Python's regular expressions.
+SIGN = (
+    rf"{_words_sign()}|PRIVATE KEY|://[^\s/@]*:[^\s/@]+@|AKIA|ASIA|gh[pousr]_|github_pat_|[sr]k_live_|xox[abprs]-|AIza|glpat-|SG\.[A-Za-z0-9_\-]|eyJ|-u[ \t]+[^\s:]+:"
+    rf"|(?iu:{_any(_PARAM_WORDS)}=|\b{_any('bearer|basic|token')}[ \t]|\b{_any(_IS_WORDS)}s?[ \t:]|-(?:{_CLI_WORDS})[ =])"
+)
+_SIGN = re.compile(SIGN)
+
+
 def name_strength(name: str) -> int:
     """2: names a credential; 1: may; 0: doesn't. The identifier is read word by word."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -108,7 +129,7 @@ def looks_random(value: str) -> bool:
 
 def is_value(value: str, strength: int) -> bool:
     """Whether a value given to a name of this strength is a usable credential."""
-    if not value or strength == 0 or len(value) < 5 or len(value) > 4096:
+    if not value or strength == 0 or len(value) < 5:
         return False
     if any(c.isspace() for c in value) or is_placeholder(value) or _OTHER.match(value) or "-----BEGIN" in value:
         return False
@@ -277,7 +298,7 @@ def redact(rows: DataFrame, text: str, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pd.Series([mask(t, p) for t, p in zip(b["text"], b["path"])], dtype=object)
 
-    given = F.struct(F.col(text).alias("text"), (F.col(path) if path else F.lit(None).cast("string")).alias("path"))
-    new = F.when(may_hold(text), masked(given)).otherwise(F.col(text))
-    out = rows.withColumn("__new", new)
+    # a function of Python's is called for every row, so texts that hold nothing don't go there
+    given = F.struct(F.when(may_hold(text), F.col(text)).alias("text"), (F.col(path) if path else F.lit(None).cast("string")).alias("path"))
+    out = rows.withColumn("__new", F.coalesce(masked(given), F.col(text)))
     return out.withColumn("redacted", ~F.col("__new").eqNullSafe(F.col(text))).withColumn(text, F.col("__new")).drop("__new")
