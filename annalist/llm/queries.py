@@ -58,6 +58,11 @@ def p5_redacted_tasks(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(table(spark, d, "function_tasks").select("task_id", "file_path", "source"), "source", "file_path")
 
 
+def p5_redacted_documentations(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the log, repeated ones too, with its text's credentials masked."""
+    return secrets.redact(spread(table(spark, d, "documentations").select("id", "content")), "content")
+
+
 def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
     return [tuple(r) for r in table(spark, d, "pack_capacities").select("capacity_id", "capacity_tokens").collect()]  # a fixed table
 
@@ -95,6 +100,6 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p5_redacted_documentations": p5_redacted_documentations, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences,
 }
 ORACLES: dict[str, str] = {}

@@ -117,3 +117,19 @@ def test_names_are_within_the_sign(spark):
     strong = sorted({n for n in names if name_strength(n)})
     assert len(strong) > 2000 and all(secrets._SIGN.search(n) for n in strong)
     assert spark.createDataFrame([(n,) for n in strong], "t string").filter(~secrets.may_hold("t")).count() == 0
+
+
+def test_documentations_are_redacted(spark):
+    from annalist.llm import queries
+    from annalist.sources.tables import table
+
+    d = "/root/testdata/sf0.001"
+    out = queries.QUERIES["p5_redacted_documentations"](spark, d).collect()
+    rows = table(spark, d, "documentations").select("id", "content").collect()
+    assert sorted((r["id"], len(r["content"] or ""), r["content"] is None) for r in out) == sorted((r["id"], len(r["content"] or ""), r["content"] is None) for r in rows)
+    found = {}
+    for r in queries.p5_found(spark, d).filter("origin = 'documentations'").collect():
+        found.setdefault(r["row_id"], []).append(r["secret"])
+    assert found and {r["id"] for r in out if r["redacted"]} == set(found)
+    assert not any(x in r["content"] for r in out if r["content"] for x in found.get(r["id"], ()))
+    assert all(find(r["content"], None) == [] for r in out)
