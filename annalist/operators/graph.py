@@ -195,12 +195,12 @@ def topological_order(lv: DataFrame, scratch: Scratch) -> DataFrame:
     return row_numbers(scratch, lv, ["level", "comp"], "seq")
 
 
-def ready(lv: DataFrame, bottom: DataFrame, slots: int) -> DataFrame:
-    """LIM2: of each level the `slots` components with the highest bottom level, then the lowest number: what a scheduler starts first."""
+def ready(lv: DataFrame, bottom: DataFrame, slots: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """LIM2: of each level (of each group `within`) the `slots` components with the highest bottom level, then the lowest number: what a scheduler starts first."""
     from pyspark.sql import Window as W
 
     if slots < 1:
         raise ValueError("at least one slot")
     j = lv.join(bottom.withColumnRenamed("level", "bottom"), "comp")
-    n = F.row_number().over(W.partitionBy("level").orderBy(F.col("bottom").desc(), "comp"))
+    n = F.row_number().over(W.partitionBy(*within, "level").orderBy(F.col("bottom").desc(), "comp"))
     return j.withColumn("place", n).filter(F.col("place") <= slots)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.functions.joins import null_safe_join
 from annalist.functions.scalar import graph_width, lane_x, language, owner, repaired_json, row_y, supported_path
 from annalist.operators import calls, commits, docloop, extract, graph, hierarchy, logs, registry, repos, snapshots
-from annalist.operators.scan import numbered
+from annalist.operators.scan import numbered, row_numbers, running_sum
 from annalist.plans.fixtures import cte, view
 from annalist.session import Scratch
 from annalist.sources.tables import spread, table
@@ -456,15 +457,84 @@ def task_functions(spark: SparkSession, d: str) -> DataFrame:
     return _task_functions(spark, d).select("task_id", "file_path", "name", "language", F.array_join("callees", ",").alias("callees"), "has_error", "pos", "content_hash")
 
 
-@query()
-def task_calls(spark: SparkSession, d: str) -> DataFrame:
-    """The calls between the functions of all queued files, by repository; broken functions take no part."""
+def _task_calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The resolved calls of all queued files and their functions (tree, file_path, name)."""
     f = Scratch(spark, "calls").cut(_task_functions(spark, d).filter(~F.col("has_error")).select(F.col("repository_id").alias("tree"), "file_path", "name", "callees"))
     defs = f.select("tree", "file_path", "name")
     live = _registry(spark, d).filter(~F.col("is_deleted")).select(F.col("repository_id").alias("tree"), "file_path", F.col("function_name").alias("name"))
     outside = live.join(defs.distinct(), ["tree", "file_path", "name"], "left_anti")
     sites = f.select("tree", "file_path", "name", F.explode("callees").alias("raw_callee"))
-    return calls.resolve(sites, defs, outside).withColumnRenamed("tree", "repository_id")
+    return calls.resolve(sites, defs, outside), defs
+
+
+@query()
+def task_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The calls between the functions of all queued files, by repository; broken functions take no part."""
+    return _task_calls(spark, d)[0].withColumnRenamed("tree", "repository_id")
+
+
+def _task_graph(spark: SparkSession, d: str) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
+    """(scratch, functions with their number n, components, edges) of the internal calls of all queued files; numbers run by repository, file and name."""
+    scratch = Scratch(spark, "task_graph")
+    resolved, defs = _task_calls(spark, d)
+    nodes = scratch.cut(row_numbers(scratch, defs.distinct(), list(calls.CALLER), "n"))
+    dep = nodes.select("tree", F.col("file_path").alias("dep_file"), F.col("name").alias("dep_name"), F.col("n").alias("dep"))
+    pairs = null_safe_join(null_safe_join(calls.edges(resolved), nodes, calls.CALLER, "inner"), dep, ("tree", "dep_file", "dep_name"), "inner")
+    edges = scratch.cut(pairs.select("n", "dep"))
+    return scratch, nodes, scratch.cut(graph.components(scratch, nodes.select("n"), edges)), edges
+
+
+def _of_repository(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """A component is named by one of its functions, which tells the repository."""
+    return comps.join(nodes.select(F.col("n").alias("comp"), F.col("tree").alias("repository_id")), "comp")
+
+
+@query()
+def task_components(spark: SparkSession, d: str) -> DataFrame:
+    """The strongly connected component of every function of the queued files."""
+    _, nodes, comps, _ = _task_graph(spark, d)
+    return nodes.join(comps, "n").select(F.col("tree").alias("repository_id"), "file_path", "name", "n", "comp")
+
+
+@query()
+def task_component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    _, nodes, comps, _ = _task_graph(spark, d)
+    return _of_repository(nodes, graph.component_sizes(comps))
+
+
+@query()
+def task_component_edges(spark: SparkSession, d: str) -> DataFrame:
+    _, nodes, comps, edges = _task_graph(spark, d)
+    return _of_repository(nodes, graph.component_edges(comps, edges))
+
+
+@query()
+def task_levels(spark: SparkSession, d: str) -> DataFrame:
+    scratch, nodes, comps, edges = _task_graph(spark, d)
+    return _of_repository(nodes, graph.levels(scratch, comps, graph.component_edges(comps, edges)))
+
+
+@query()
+def task_bottom_levels(spark: SparkSession, d: str) -> DataFrame:
+    scratch, nodes, comps, edges = _task_graph(spark, d)
+    return _of_repository(nodes, graph.bottom_levels(scratch, comps, graph.component_edges(comps, edges)))
+
+
+@query()
+def task_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """What a scheduler of four slots starts first on each level of each repository."""
+    scratch, nodes, comps, edges = _task_graph(spark, d)
+    ce = scratch.cut(graph.component_edges(comps, edges))
+    lv = _of_repository(nodes, graph.levels(scratch, comps, ce))
+    return graph.ready(lv, graph.bottom_levels(scratch, comps, ce), 4, ("repository_id",))
+
+
+@query()
+def task_order(spark: SparkSession, d: str) -> DataFrame:
+    """Components numbered within their repository so that dependencies come first."""
+    scratch, nodes, comps, edges = _task_graph(spark, d)
+    lv = _of_repository(nodes, graph.levels(scratch, comps, graph.component_edges(comps, edges)))
+    return running_sum(scratch, lv.withColumn("one", F.lit(1).cast("long")), ["repository_id"], ["level", "comp"], "one", "seq").drop("one")
 
 
 @query("""select task_id, case when mode = 'modified' and length(existing_documentation) > 0 then 'gate' else 'generator' end as route,

@@ -197,3 +197,50 @@ def test_create_all(spark, tmp_path):
     create_all(spark, f"file://{tmp_path}")
     create_all(spark, f"file://{tmp_path}")
     assert spark.read.parquet(f"{tmp_path}/documentations.parquet").count() == 0
+
+
+def test_task_graph_against_brute_force(spark, scratch):
+    """Components, levels and order of the real calls of all queued files, in one task and in rounds."""
+    from annalist.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    key = lambda r: (r["repository_id"], r["file_path"], r["name"])
+    where = {key(r): (r["n"], r["comp"]) for r in catalog.task_components(spark, d).collect()}
+    broken = catalog.task_functions(spark, d).filter("not has_error").join(spark.read.parquet(f"{d}/function_tasks.parquet").select("task_id", "repository_id"), "task_id")
+    assert set(where) == {key(r) for r in broken.collect()} and len({n for n, _ in where.values()}) == len(where)
+    pairs = {(key(r), (r["repository_id"], r["target_file"], r["target_name"])) for r in catalog.task_calls(spark, d).filter("kind = 'internal'").collect()}
+    assert pairs
+    links = {(where[a][0], where[b][0]) for a, b in pairs}
+    to = {}
+    for a, b in links:
+        to.setdefault(a, set()).add(b)
+    reach = {}
+    for n, _ in where.values():
+        seen, todo = {n}, [n]
+        while todo:
+            new = to.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        reach[n] = seen
+    want = {n: min(m for m in reach[n] if n in reach[m]) for n in reach}
+    assert dict(where.values()) == want
+    nodes, edges = spark.createDataFrame([(n,) for n in want], "n bigint"), spark.createDataFrame(sorted(links), "n bigint, dep bigint")
+    comps = scratch.cut(graph.components(scratch, nodes, edges, 0))
+    assert {r["n"]: r["comp"] for r in comps.collect()} == want
+    ce = {(want[a], want[b]) for a, b in links if want[a] != want[b]}
+    of = {n: k[0] for k, (n, _) in where.items()}
+    assert {(r["repository_id"], r["comp"], r["dep_comp"]) for r in catalog.task_component_edges(spark, d).collect()} == {(of[a], a, b) for a, b in ce}
+    sizes = {r["comp"]: (r["repository_id"], r["size"]) for r in catalog.task_component_sizes(spark, d).collect()}
+    assert sizes == {c: (of[c], list(want.values()).count(c)) for c in set(want.values())}
+    lv = {r["comp"]: r["level"] for r in catalog.task_levels(spark, d).collect()}
+    bl = {r["comp"]: r["level"] for r in catalog.task_bottom_levels(spark, d).collect()}
+    for c in set(want.values()):
+        assert lv[c] == max((lv[b] + 1 for a, b in ce if a == c), default=0) and bl[c] == max((bl[a] + 1 for a, b in ce if b == c), default=1)
+    assert {r["comp"]: r["level"] for r in graph.levels(scratch, comps, graph.component_edges(comps, edges), 0).collect()} == lv
+    order = catalog.task_order(spark, d).collect()
+    seq = {r["comp"]: r["seq"] for r in order}
+    assert all(seq[b] < seq[a] for a, b in ce) and set(seq) == set(lv)
+    for repo in set(of.values()):
+        assert sorted(r["seq"] for r in order if r["repository_id"] == repo) == list(range(sum(of[c] == repo for c in lv)))
+    first = {(r["repository_id"], r["level"]): 0 for r in catalog.task_schedule(spark, d).collect()}
+    assert set(first) == {(of[c], x) for c, x in lv.items()}
