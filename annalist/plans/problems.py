@@ -27,6 +27,19 @@ def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return h.select(F.col("tree").alias("repository_id"), F.col("label").alias("sha"), F.col("root").alias("root_sha"), "depth", "pre", "n_below", path.alias("path"))
 
 
+def p1_full_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every commit with its path written out, root first; null where the ancestry never ends."""
+    forest = _forest(spark, d)
+    rows = forest.names.select("tree", "label").join(hierarchy.full_paths(forest), ["tree", "label"], "left")
+    return rows.select(F.col("tree").alias("repository_id"), F.col("label").alias("sha"), "path")
+
+
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a commit and one below it, but for never-ending ancestries."""
+    rows = hierarchy.descendants(_forest(spark, d))
+    return rows.select(F.col("tree").alias("repository_id"), F.col("label").alias("sha"), F.col("below").alias("below_sha"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     c = snapshots.snapshot_changes(table(spark, d, "registry_snapshots"))
     return c.select("snapshot_no", "repository_id", "file_path", "function_name", "change_kind")
@@ -85,7 +98,7 @@ def p7_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p2_found": p2_found, "p2_change_counts": p2_change_counts, "p6_found": p6_found, "p7_found": p7_found, "p7_current": p7_current,
+    "p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_full_paths": p1_full_paths, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_change_counts": p2_change_counts, "p6_found": p6_found, "p7_found": p7_found, "p7_current": p7_current,
 }
 
 _P1_NODES = """

@@ -207,3 +207,25 @@ def test_store_commits_once(spark, scratch):
         store.commit(before, "t", [two], two[1])
     assert store.read("t").count() == 20  # the loser's rows are not seen
     assert store.vacuum() == 1 and store.read("t").count() == 20
+
+
+def test_paths_and_descendants_of_the_table(spark):
+    """Both written out over all commits, against parents followed one by one."""
+    from annalist.plans import problems
+
+    d = "/root/testdata/sf0.001"
+    first = {}
+    for r in sorted(spark.read.parquet(f"{d}/commits.parquet").filter("sha is not null and repository_id is not null").collect(), key=lambda r: r["pos"]):
+        first.setdefault((r["repository_id"], r["sha"].lower()), (r["sha"], (r["parents"] or [""])[0] or ""))
+    want = {}
+    for (repo, k), (sha, _) in first.items():
+        path, seen, at = [], set(), (repo, k)
+        while at in first and at not in seen:
+            seen.add(at)
+            path.append(first[at][0])
+            at = (repo, first[at][1].lower())
+        want[(repo, sha)] = None if at in seen else path[::-1]
+    got = problems.QUERIES["p1_full_paths"](spark, d).collect()
+    assert {(r["repository_id"], r["sha"]): r["path"] for r in got} == want and len(got) == len(want)
+    pairs = [tuple(r) for r in problems.QUERIES["p1_descendants"](spark, d).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(repo, up, sha) for (repo, sha), p in want.items() if p for up in p[:-1]}
