@@ -6,23 +6,29 @@ whole sentence spans: a span is scored by its length, by how it opens and closes
 abbreviations, ordinals, initials), and by whether its quotations and brackets are balanced, all jointly, and the best
 division of the unit wins. So a mark within a quotation is no end if the span would leave the quotation open.
 
-The program is linear in the unit's candidates: a span may hold SPAN candidates, far more than a sentence has; if even
-that many don't close a quotation, it is taken as never closed. Texts are processed whole, one pass within the scan's
-tasks. Offsets are code points of the text as it is, whatever its line ends. Null, empty and blank texts have no
+The program is exact and linear in the unit's candidates: a span may be of any length; spans that have begun are carried
+from mark to mark, and one is dropped only when it can no longer win. Texts are processed whole, one pass within the
+scan's tasks. Offsets are code points of the text as it is, whatever its line ends. Null, empty and blank texts have no
 sentences; repeated rows repeat theirs; the column `lang` is not used, as it may be wrong.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates that one span may hold.
-SPAN = 48
+#: What it costs to cut within a quotation or bracket.
+UNBALANCED = 10.0
+#: Code points below and above which a span is less likely a sentence, and the most that this costs; characters of scripts without blanks count WIDE-fold.
+SHORT, LONG, LENGTH_COST, WIDE = 12, 200, 1.0, 3
+#: What it costs a span that opens as a question or exclamation (¿, ¡) and closes otherwise.
+OPEN_CLOSE = 1.0
 
 #: Abbreviations, without their last dot and in lower case.
 #: After these the sentence goes on.
@@ -37,17 +43,33 @@ _NUMBER = set(
 #: They may end a sentence; before a small letter they don't.
 _MAY = set("etc usw usf u.a o.ä u.ä a.m p.m am pm u.s u.k u.n inc ltd co corp llc bros uu o u т п д е др пр г гг в вв тыс млн млрд руб коп т.п т.д и.о v.chr n.chr a.c d.c b.c a.d std min sek mio mrd st".split())
 _ORDINAL_AFTER = set("der die das den dem des am im vom zum zur beim ab bis seit jede jeder jedes jeden diese dieser dieses unser unsere mein meine ihr ihre und oder".split())
+#: Words that open sentences; behind an initial or an abbreviation of a name they tell that it ended one.
+_OPENS = set(
+    "the this that these those there it its he she we they you i a an in on at for from if when while after before as since once although because but and so then next now here what why how who where which please note see use run only all each every some no not "
+    "der die das ein eine dies diese dieser dieses es er sie wir ihr man im in am beim wenn als nach vor seit weil aber und dann danach nun hier was warum wie wer wo bitte nur alle jede jeder kein keine "
+    "le la les un une ce cette ces il elle on nous vous ils elles dans sur pour si quand après avant comme mais et puis ensuite ici pourquoi comment tous chaque "
+    "el los las una unos este esta estos estas ello él ella nosotros ellos en con para cuando después antes como pero y luego aquí qué por cómo todos cada "
+    "это этот эта эти он она они мы вы в на если когда после до но и затем потом здесь почему как все каждый".split()
+)
+_WORD = re.compile(r"[^\W\d_]+")
 _PARTICLES = "とってがはをにのでもや、，；：・的地得着了过吗呢"
 
-_MARK = re.compile(r"[.!?]+…*|…+[.!?]*|[。！？｡．]+|[।॥؟۔]+|(?<=[฀-๿])[ \t ]*\r?\n?[ \t ]*(?=[฀-๿])")
-_CODE = re.compile(r"`[^`\n]*`|`[^`]{0,200}`|https?://\S+")
+_MARK = re.compile(r"[.!?]+…*|…+[.!?]*|[。！？｡．]+|[।॥؟۔]+")
+_MARKS = re.compile(r"[.!?…。！？｡．।॥؟۔]+")
+_THAI = re.compile(r"[฀-๿]")
+_THAI_BLANK = re.compile(r"(?<=[฀-๿])(?:[ \t ]+(?:\r?\n[ \t ]*)?|\r?\n[ \t ]*)(?=[฀-๿])")
+_CODE = re.compile(r"`[^`]*`|https?://\S+")
 _CLOSERS = "\"'”’»›」』）)]}*_“】》〉"
 _OPENERS = "\"'“„‘«‹「『（([{¿¡*`_【《〈—"
+_OPENERS_BUT_ASKING = _OPENERS.replace("¿", "").replace("¡", "") + " "
+_BALANCE = re.compile(r'["“”„«»「」『』()（）\[\]【】《》{}]')
 _PAIRS = {")": "(", "）": "（", "]": "[", "」": "「", "』": "『", "»": "«", "}": "{", "】": "【", "》": "《"}
-_OPENING = set(_PAIRS.values())
+_OPENING_MARKS = "([{«„“‘'「『（【《—–-"
+_CLOSING_MARKS = ")]}»”’'.,;:!?」』）】》—–…"
 _LIST = re.compile(r"[ \t]*(?:([-*+•‣◦])|(\d{1,9})[.)])(?:[ \t]+|$)")
 _HEAD = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+_SPECIAL = "`~#=-*+•‣◦"
 _RULE = re.compile(r" {0,3}(?:=+|-{2,})[ \t]*$")
 _IDENT = re.compile(r"[A-Za-z]\w*_\w+|[A-Za-z_]\w*\(|[\w-]+\.(?:go|py|js|ts|md|json|yaml|yml|java|cpp|h|gz|txt|toml|sh|html|css)\b|--?\w")
 _BEFORE = re.compile(r"[^\s(\[{\"'“„«‹「（]+$")
@@ -85,9 +107,15 @@ def units(text: str) -> list[tuple[int, int, int, bool]]:
                 start, fence = -1, ""
             last = end
             continue
-        if not bare.strip():
+        inner = bare.strip()
+        if not inner:
             close()
             continue
+        if inner[0] not in _SPECIAL and not inner[0].isdigit():
+            if start < 0:
+                start, body, number = at, at, None
+            last = end
+            continue
         m = _FENCE.match(bare)
         if m and not (m.group(1)[0] == "`" and "`" in bare.strip().lstrip("`")):
             close()
@@ -120,28 +148,50 @@ def units(text: str) -> list[tuple[int, int, int, bool]]:
     return out
 
 
+class _Counts(dict):
+    """Places of a character in a text, found once; `before`: how many lie before a place."""
+
+    def __init__(self, s: str):
+        self.s = s
+
+    def __missing__(self, c: str) -> list[int]:
+        got = self[c] = [m.start() for m in re.finditer(re.escape(c), self.s)]
+        return got
+
+    def before(self, c: str, end: int) -> int:
+        return bisect_left(self[c], end)
+
+
 def _candidates(s: str, words: int) -> list[tuple[int, int, float]]:
     """(end, start of what follows, score) of each place in a unit where a sentence may end."""
-    code = [(m.start(), m.end()) for m in _CODE.finditer(s, words)]
+    code = [(m.start(), m.end()) for m in _CODE.finditer(s, words)] if "`" in s or "://" in s else []
+    counts = _Counts(s)
     out: list[tuple[int, int, float]] = []
     k, n = 0, len(s)
-    for m in _MARK.finditer(s, words):
-        a, b = m.start(), m.end()
+    found = [m.span() for m in _MARKS.finditer(s, words)]
+    if any(b > a + 1 for a, b in found):
+        found = [m.span() for a, b in found for m in _MARK.finditer(s, a, b)]
+    if _THAI.search(s, words):
+        found = sorted([*found, *(m.span() for m in _THAI_BLANK.finditer(s, words))])
+    for a, b in found:
+        after = s[b] if b < n else ""
+        if b == a + 1 and s[a] == "." and ("a" <= after <= "z" or "0" <= after <= "9"):
+            continue  # within a name or number
         while k < len(code) and code[k][1] <= a:
             k += 1
         if k < len(code) and code[k][0] <= a:
             if not (s[code[k][0]] == "h" and b >= code[k][1]):
                 continue
-        mark = m.group()
+        mark = s[a:b]
         if not mark.strip():
-            if b > a and not (s[a - 1] == "ๆ" or s[b] == "ๆ"):
+            if not (s[a - 1] == "ๆ" or s[b] == "ๆ"):
                 out.append((a, b, 3.0))
             continue
         kind = mark[0] if mark[0] not in "!?" else "!"
         if kind == "." and len(mark) > 1 and set(mark) == {"."}:
             kind = "…" if len(mark) > 2 else "."
         end, closed, bracket = b, False, False
-        while end < n:
+        while end < n and not s[end].isalnum():
             c = s[end]
             if c in "   " and end + 1 < n and s[end + 1] in "»›":
                 end += 2
@@ -149,13 +199,13 @@ def _candidates(s: str, words: int) -> list[tuple[int, int, float]]:
                 continue
             if c not in _CLOSERS:
                 break
-            if c == "“" and s.count("„", 0, end) <= s.count("“", 0, end):
+            if c == "“" and counts.before("„", end) <= counts.before("“", end):
                 break
-            if c == '"' and s.count('"', 0, end) % 2 == 0:
+            if c == '"' and counts.before('"', end) % 2 == 0:
                 break
             if c == "'" and not (end + 1 == n or s[end + 1].isspace()):
                 break
-            if c in _PAIRS and s.count(_PAIRS[c], 0, end) <= s.count(c, 0, end):
+            if c in _PAIRS and counts.before(_PAIRS[c], end) <= counts.before(c, end):
                 break
             if c in "*_" and not (end + 1 >= n or s[end + 1].isspace() or s[end + 1] in "*_"):
                 break
@@ -176,6 +226,11 @@ def _candidates(s: str, words: int) -> list[tuple[int, int, float]]:
     return out
 
 
+def _opens(s: str, at: int) -> bool:
+    w = _WORD.match(s, at)
+    return bool(w) and w.group().lower() in _OPENS
+
+
 def _score(s: str, a: int, end: int, nxt: int, kind: str, mark: str, closed: bool, bracket: bool, blank: bool, wide: bool, prev: str, c: str) -> float | None:
     """How well a sentence closes before `end` and another opens at `nxt`; None: no candidate."""
     if c in ",;:،，、；：)）]}»”」』%/=&|":
@@ -221,8 +276,10 @@ def _score(s: str, a: int, end: int, nxt: int, kind: str, mark: str, closed: boo
             if lower and not ident or c.isdigit():
                 return -6.0
             score = 0.5
+            if spelled and token.isupper() and not _opens(s, nxt):
+                return -1.0
         elif len(token) == 1 and token.isupper():
-            return -4.0
+            return 1.5 if blank and _opens(s, nxt) and not s[max(0, a - 4) : a - 1].rstrip().endswith(".") else -4.0
         elif token.isdigit() and len(token) <= 2:
             w = re.search(r"(\w+)\s+\d+$", s[max(0, a - 30) : a])
             if w and w.group(1).lower() in _ORDINAL_AFTER:
@@ -240,70 +297,99 @@ def _score(s: str, a: int, end: int, nxt: int, kind: str, mark: str, closed: boo
     return score - (0.5 if not blank else 0)
 
 
-def _unbalanced(s: str, a: int, b: int, cache: dict[tuple[int, int], int]) -> int:
-    got = cache.get((a, b))
-    if got is not None:
-        return got
-    stack: list[str] = []
-    wrong = 0
-    for i in range(a, b):
-        c = s[i]
-        if c in _OPENING or c == "„":
-            stack.append(c)
+def _length_cost(n: int) -> float:
+    """0 for a sentence's usual length, up to LENGTH_COST for very short and very long spans."""
+    if n < SHORT:
+        return LENGTH_COST * (SHORT - n) / SHORT
+    return 0.0 if n <= LONG else min(LENGTH_COST, LENGTH_COST * (n - LONG) / (4 * LONG))
+
+
+def _asks_cost(s: str, a: int, b: int) -> float:
+    """A span that opens with ¿ or ¡ closes with ? or !."""
+    opening = s[a : a + 3].lstrip(_OPENERS_BUT_ASKING)[:1]
+    if opening not in ("¿", "¡"):
+        return 0.0
+    return 0.0 if ("?" if opening == "¿" else "!") in s[max(a, b - 6) : b] else OPEN_CLOSE
+
+
+def _pairs(s: str) -> list[tuple[int, int]]:
+    """Quotations and brackets that open and close in a unit; marks without partner (inches, smileys, `a)`) are none.
+
+    A straight quotation mark opens behind white space or an opening mark and closes before white space or a closing one;
+    elsewhere it closes what is open. Kinds don't touch one another.
+    """
+    out: list[tuple[int, int]] = []
+    open_: dict[str, list[int]] = {}
+    for m in _BALANCE.finditer(s):
+        c, at = m.group(), m.start()
+        if c == '"':
+            before, after = s[at - 1 : at], s[at + 1 : at + 2]
+            left, right = not before or before.isspace() or before in _OPENING_MARKS, not after or after.isspace() or after in _CLOSING_MARKS
+            opener = c if right and not left or left == right and open_.get(c) else None
         elif c == "“":
-            if stack and stack[-1] == "„":
-                stack.pop()
-            else:
-                stack.append(c)
+            opener = "„" if open_.get("„") else None
         elif c == "”":
-            if stack and stack[-1] in "“„":
-                stack.pop()
-            else:
-                wrong += 1
-        elif c in _PAIRS:
-            if stack and stack[-1] == _PAIRS[c]:
-                stack.pop()
-            else:
-                wrong += 1
-        elif c == '"':
-            if '"' in stack:
-                while stack.pop() != '"':
-                    wrong += 1
-            else:
-                stack.append(c)
-    cache[(a, b)] = wrong + len(stack)
-    return wrong + len(stack)
+            opener = "“" if open_.get("“") else "„"
+        else:
+            opener = _PAIRS.get(c)
+        if opener is None:
+            open_.setdefault(c, []).append(at)
+        elif open_.get(opener):
+            out.append((open_[opener].pop(), at))
+    return out
 
 
 def split_unit(s: str, words: int) -> list[tuple[int, int]]:
-    """Spans of the best division of a unit; `words`: where its text begins behind a list marker."""
+    """Spans of the best division of a unit; `words`: where its text begins behind a list marker.
+
+    A cut costs UNBALANCED for every pair of marks that it leaves open, as neither span is balanced then. A state is a
+    span that has begun and the score of all before it; it falls when no length and no opening can bring it past the span
+    that begins here, so few are carried on.
+    """
+    asks = "¿" in s or "¡" in s
+    most = LENGTH_COST + (OPEN_CLOSE if asks else 0.0)
     cand = _candidates(s, words)
     end = len(s)
+    if cand and _BALANCE.search(s):
+        ends, nexts = [x[0] for x in cand], [x[1] for x in cand]
+        change = [0] * (len(cand) + 1)
+        for p, q in _pairs(s):
+            i, j = bisect_right(ends, p), bisect_right(nexts, q)
+            if i < j:
+                change[i] += 1
+                change[j] -= 1
+        cand = [(b, nxt, g - UNBALANCED * n) for (b, nxt, g), n in zip(cand, accumulate(change))]
+    cand = [x for x in cand if x[2] >= -most]  # a cut that costs more than any length is never made
     if not cand:
         return [(0, end)]
-    ends = [x[0] for x in cand] + [end]
-    starts = [0] + [x[1] for x in cand]
-    gain = [x[2] for x in cand] + [0.0]
-    quotes = any(ch in s for ch in "\"“„«»”「」『』()（）[]【】《》{}")
-    cache: dict[tuple[int, int], int] = {}
-    best, back = [0.0] * (len(ends) + 1), [0] * (len(ends) + 1)
-    for j in range(1, len(ends) + 1):
-        top, at = -1e18, j - 1
-        for i in range(j - 1, max(-1, j - SPAN - 1), -1):
-            a, b = starts[i], ends[j - 1]
-            if b <= a:
+    if not asks and all(g > 2 * LENGTH_COST for _, _, g in cand):
+        return list(zip([0, *(x[1] for x in cand)], [*(x[0] for x in cand), end]))  # no length changes what these gain
+    wide = WIDE if _cjk(s[cand[0][0] - 1]) or s[cand[0][0] - 1] in "。！？｡．" else 1
+    starts, bounds, back = [0], [0], [0]
+    states: list[tuple[float, int]] = [(0.0, 0)]
+    for b, nxt, gain in [*cand, (end, end, 0.0)]:
+        top, best = -1e18, -1
+        for v, i in states:
+            a = starts[i]
+            if b <= a or v <= top:
                 continue
-            v = best[i] + gain[j - 1] - 0.0015 * (b - a) - (0.4 if b - a < 4 else 0.0)
-            if v > top and quotes:
-                v -= 10.0 * _unbalanced(s, a, b, cache)
+            v -= _length_cost((b - a) * wide)
+            if asks and v > top:
+                v -= _asks_cost(s, a, b)
             if v > top:
-                top, at = v, i
-        best[j], back[j] = top, at
-    spans, j = [], len(ends)
-    while j > 0:
-        i = back[j]
-        spans.append((starts[i], ends[j - 1]))
-        j = i
+                top, best = v, i
+        if best < 0:
+            continue
+        top += gain
+        starts.append(nxt)
+        bounds.append(b)
+        back.append(best)
+        states = [x for x in states if x[0] + most >= top]
+        states.append((top, len(starts) - 1))
+    spans, k = [], len(starts) - 1
+    while k:
+        spans.append((starts[back[k]], bounds[k]))
+        k = back[k]
     return spans[::-1]
 
 
@@ -315,22 +401,35 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     for a, b, words, whole in units(text):
         s = text[a:b]
         for x, y in [(0, len(s))] if whole else split_unit(s, words - a):
-            piece = s[x:y]
-            left = len(piece) - len(piece.lstrip())
-            right = len(piece.rstrip())
-            if right > left:
-                out.append((a + x + left, a + x + right))
+            while x < y and s[x].isspace():
+                x += 1
+            while y > x and s[y - 1].isspace():
+                y -= 1
+            if y > x:
+                out.append((a + x, a + y))
     return out
 
 
-def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sent_no, sent_start, sent_end, sentence) for every sentence of every text."""
+def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """(key, sent_no, sent_start, sent_end, sentence) for every sentence of every text; the sentence itself only if asked for."""
+    kind = dict(docs.dtypes)[key]
 
-    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.Series([[{"a": x, "b": y} for x, y in sentences(t)] for t in b], dtype=object)
+            at, no, begins, ends, own = [], [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for k, (x, y) in enumerate(sentences(t)):
+                    at.append(i)
+                    no.append(k)
+                    begins.append(x)
+                    ends.append(y)
+                    if with_text:
+                        own.append(t[x:y])
+            cols = [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in (no, begins, ends))]
+            names = [key, "sent_no", "sent_start", "sent_end"]
+            if with_text:
+                cols, names = [*cols, pa.array(own, pa.string())], [*names, "sentence"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("__t"), cut(text).alias("__s"))
-    rows = rows.select(key, "__t", F.posexplode("__s").alias("sent_no", "__x"))
-    return rows.select(key, F.col("sent_no").cast("bigint").alias("sent_no"), F.col("__x.a").alias("sent_start"), F.col("__x.b").alias("sent_end"), F.expr("substring(__t, int(__x.a) + 1, int(__x.b - __x.a))").alias("sentence"))
+    schema = f"`{key}` {kind}, sent_no bigint, sent_start bigint, sent_end bigint" + (", sentence string" if with_text else "")
+    return docs.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(cut, schema)

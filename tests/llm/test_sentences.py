@@ -2,6 +2,7 @@
 
 import pytest
 
+from annalist.llm import sentences as module
 from annalist.llm.sentences import sentences, split_sentences
 
 CASES = {
@@ -60,3 +61,36 @@ def test_frames(spark):
     got = sorted((r["doc_id"], r["sent_start"], r["sent_end"], r["sentence"]) for r in split_sentences(df).collect())
     assert got == [(1, 0, 4, "A b."), (1, 0, 4, "A b."), (1, 5, 9, "C d."), (1, 5, 9, "C d."), (4, 0, 4, "😀 x."), (4, 5, 7, "Y.")]
     assert split_sentences(df.limit(0)).count() == 0
+
+
+def test_opening_words_decide_behind_initials_and_abbreviations():
+    assert pieces("He is in the U.S. Army now. We saw it.") == ["He is in the U.S. Army now.", "We saw it."]
+    assert pieces("This is plan B. Next we go.") == ["This is plan B.", "Next we go."]
+    assert pieces("J. R. Smith came. He left.") == ["J. R. Smith came.", "He left."]
+
+
+def test_quotations_of_any_length_stay_whole():
+    inner = " ".join(f"Item {i} is done." for i in range(200))
+    t = f"He said ({inner}) and left. She stayed."
+    assert pieces(t) == [f"He said ({inner}) and left.", "She stayed."]
+
+
+def test_marks_without_partner_and_long_units_take_linear_time():
+    import time
+
+    began = time.time()
+    for t, n in [("“A b c. " * 20_000 + "”", 20_000), ('"Quote begins here. It never ends. ' * 10_000, 20_000), ("Some plain text is here. " * 40_000, 40_000), ("(he is. We go. " * 20_000 + ")", 39_999)]:
+        assert len(sentences(t)) == n
+    assert time.time() - began < 10
+
+
+def test_length_decides_where_the_words_leave_it_open():
+    assert module._length_cost(2) > module._length_cost(8) > module._length_cost(50) == 0 < module._length_cost(500)
+    # a very short span loses against one that goes on, a usual one doesn't
+    cand = [(4, 5, 0.3), (40, 41, 0.3)]
+    old = module._candidates
+    try:
+        module._candidates = lambda s, words: cand
+        assert module.split_unit("x" * 80, 0) == [(0, 40), (41, 80)]
+    finally:
+        module._candidates = old
