@@ -5,33 +5,41 @@ tokens; of the items that still fit, the one goes in whose demand has the larges
 dimension in shares of its limit and weighted by how scarce it is among the items. Items larger than a container are cut
 into full containers and a rest; no other item is ever split.
 
+Loss-bearing are the tokens after a text's first paragraph, which asks or names; a text of one paragraph bears loss in
+whole. The limit LOSS_SHARE is below one, so containers mix texts that bear much loss with such as bear little. Where
+one piece bears more loss than a container takes, it stays whole and its first loss-bearing tokens are masked: its
+loss_tokens are the limit.
+
 A task packs the texts of its own scan, in groups of GROUP items at a time; what lies in containers filled below CARRY
-moves on to the next group, so space is left over only at a task's end. There is no shuffle, no group grows with the data,
-and a container's number carries the task's, so numbers are unique.
+moves on to the next group, which is the larger by it, so containers close ill-filled only at a task's end. There is no
+shuffle, no group grows with the data, and a container's number carries the task's, so numbers are unique.
 
-Loss-bearing are the tokens after a text's first line, which asks or names; a text of one line bears loss in whole.
 Cases: texts without tokens (null, empty) are not placed; repeated rows are placed as often as they occur; capacities
 below one token raise.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.tokens import VOCABULARY, encoder
+from annalist.llm.tokens import VOCABULARY, encoder, token_count
 
 GROUP = 4096
 CARRY = 0.95
-#: One segment at least for so many tokens of capacity, and never less than LEAST_SEGMENTS in a container.
+#: One segment at most for so many tokens of capacity, and never less than LEAST_SEGMENTS in a container.
 TOKENS_PER_SEGMENT, LEAST_SEGMENTS = 16, 4
+#: Loss-bearing tokens that a container takes, as a share of its capacity.
+LOSS_SHARE = 0.94
+_PARAGRAPH = re.compile(r"\r?\n[ \t]*\r?\n\s*")
 
 
-def limits(capacity: int, loss_share: float = 1.0) -> tuple[int, int, int]:
+def limits(capacity: int, loss_share: float = LOSS_SHARE) -> tuple[int, int, int]:
     """(tokens, segments, loss-bearing tokens) that a container holds."""
     if capacity < 1:
         raise ValueError("a container holds one token at least")
@@ -39,112 +47,161 @@ def limits(capacity: int, loss_share: float = 1.0) -> tuple[int, int, int]:
 
 
 def pieces(tokens: int, loss: int, capacity: int, loss_limit: int) -> list[tuple[int, int, int, int]]:
-    """(number, first token, tokens, loss-bearing tokens) of an item: one piece, or full containers and a rest; the loss-bearing tokens come last."""
-    if tokens <= capacity and loss <= loss_limit:
-        return [(0, 0, tokens, loss)]
-    step, out, at = min(capacity, loss_limit), [], 0
-    while at < tokens:
-        n = min(step, tokens - at)
-        out.append((len(out), at, n, max(0, min(at + n, tokens) - max(at, tokens - loss))))
-        at += n
+    """(number, first token, tokens, loss-bearing tokens) of an item: one piece, or full containers and a rest; the loss-bearing tokens come last and count up to the limit."""
+    out, free = [], tokens - loss
+    for at in range(0, tokens, capacity):
+        n = min(capacity, tokens - at)
+        out.append((len(out), at, n, min(loss_limit, n - max(0, min(at + n, free) - at))))
     return out
 
 
-def pack(sizes: np.ndarray, caps: np.ndarray) -> list[list[int]]:
-    """Containers as lists of item numbers. sizes: (items, dimensions), each item within the limits `caps`."""
-    n = len(sizes)
-    if not n:
-        return []
-    caps = caps.astype(float)
-    demand = sizes / caps
-    total = demand.sum(axis=0)
-    weight = total / max(total.max(), 1e-12)
-    # equal items are one kind with a count: the heuristic can't tell them apart
-    kinds, first = np.unique(sizes, axis=0, return_inverse=True)
-    first = first.reshape(-1)
-    of: list[list[int]] = [[] for _ in kinds]
-    for i in range(n - 1, -1, -1):
-        of[first[i]].append(i)
-    left = np.bincount(first, minlength=len(kinds))
-    share = (kinds / caps) * weight
+def pack(items: list[tuple[int, int]], tokens: int, segments: int, loss: int) -> list[list[int]]:
+    """Containers as lists of item numbers. items: (tokens, loss-bearing tokens), each within the limits.
+
+    Equal items are one kind, as the heuristic can't tell them apart. Kinds are tried from the largest on; as loss-bearing
+    tokens are tokens, the size of a kind bounds its dot product, and the search ends where no smaller one can be better.
+    """
+    of: dict[tuple[int, int], list[int]] = {}
+    for i in range(len(items) - 1, -1, -1):
+        of.setdefault(items[i], []).append(i)
+    kinds = sorted(of, reverse=True)
+    n, left = len(kinds), len(items)
+    demand = [sum(t for t, _ in items) / tokens, len(items) / segments, sum(x for _, x in items) / loss]
+    most = max(demand, default=1.0) or 1.0
+    by_tokens, by_loss = demand[0] / most / tokens**2, demand[2] / most / loss**2
+    sizes, losses = [t for t, _ in kinds], [x for _, x in kinds]
+    down = [-t for t in sizes]
+    nxt = list(range(n + 1))  # the next kind that has items
+
+    def alive(k: int) -> int:
+        root = k
+        while nxt[root] != root:
+            root = nxt[root]
+        while nxt[k] != root:
+            nxt[k], k = root, nxt[k]
+        return root
+
     out: list[list[int]] = []
-    while n:
-        room, own = caps.copy(), []
-        alive = np.nonzero(left)[0]
-        k, d = kinds[alive], share[alive]
-        while True:
-            fits = (k <= room).all(axis=1) & (left[alive] > 0)
-            if not fits.any():
+    while left:
+        room, seats, free, own, k = tokens, segments, loss, [], 0
+        while seats and room:
+            # the segments' part of the product is the same for all items
+            a, c = by_tokens * room, by_loss * free
+            both, best, top = a + c, -1, -1.0
+            k = alive(max(k, bisect_left(down, -room)))
+            i = k
+            while i < n:
+                t = sizes[i]
+                if t * both <= top:
+                    break
+                x = losses[i]
+                if x <= free:
+                    v = t * a + x * c
+                    if v > top:
+                        top, best = v, i
+                i = nxt[i + 1]
+                if nxt[i] != i:
+                    i = alive(i)
+            if best < 0:
                 break
-            score = np.where(fits, d @ (room / caps), -1.0)
-            j = int(score.argmax())
-            kind = alive[j]
-            own.append(of[kind].pop())
-            left[kind] -= 1
-            room = room - k[j]
-            n -= 1
+            kind = of[kinds[best]]
+            own.append(kind.pop())
+            if not kind:
+                nxt[best] = best + 1
+            room -= sizes[best]
+            free -= losses[best]
+            seats -= 1
+            left -= 1
         out.append(own)
     return out
 
 
-def pack_documents(docs: DataFrame, capacities: list[tuple[int, int]], loss_share: float = 1.0, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacities: list[tuple[int, int]], loss_share: float = LOSS_SHARE, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(capacity_id, container_id, position, key, piece, token_start, tokens, loss_tokens). capacities: (id, tokens), a few."""
     caps = {cid: limits(c, loss_share) for cid, c in capacities}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
         e = encoder(path)
         number = dict.fromkeys(caps, 0)
         open_: dict[int, list[tuple]] = {c: [] for c in caps}
-
-        def flush(cid: int, last: bool) -> pd.DataFrame | None:
-            items, cap = open_[cid], np.array(caps[cid])
-            sizes = np.array([(x[3], 1, x[4]) for x in items], dtype="int64").reshape(-1, 3)
-            rows, kept = [], []
-            for own in pack(sizes, cap):
-                if not last and sizes[own, 0].sum() < CARRY * cap[0] and len(own) < cap[1]:
-                    kept += [items[i] for i in own]
+        group = dict.fromkeys(caps, GROUP)
+
+        def flush(cid: int, last: bool) -> pa.RecordBatch | None:
+            items, (cap, seats, most) = open_[cid], caps[cid]
+            cols: list[list] = [[] for _ in types]
+            kept = []
+            for own in pack([(x[3], x[4]) for x in items], cap, seats, most):
+                mine = [items[i] for i in own]
+                if not last and len(own) < seats and sum(x[3] for x in mine) < CARRY * cap and sum(x[4] for x in mine) < CARRY * most:
+                    kept += mine
                     continue
                 box = base + number[cid]
                 number[cid] += 1
-                rows += [(cid, box, p, *items[i]) for p, i in enumerate(own)]
-            if not last and len(kept) > GROUP // 2:
-                # nothing fits better in later groups than so many items tried together
-                return flush(cid, True)
-            open_[cid] = [] if last else kept
-            return pd.DataFrame(rows, columns=["capacity_id", "container_id", "position", key, "piece", "token_start", "tokens", "loss_tokens"]) if rows else None
+                m = len(mine)
+                for col, values in zip(cols, ([cid] * m, [box] * m, range(m), *zip(*mine))):
+                    col.extend(values)
+            open_[cid], group[cid] = kept, len(kept) + max(GROUP, len(kept))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values())], list(types)) if cols[0] else None
 
         for b in batches:
-            for k, t in zip(b[key], b[text]):
-                if not t:
-                    continue
-                n = len(e.encode_ordinary(t))
+            types = {"capacity_id": pa.int32(), "container_id": pa.int64(), "position": pa.int32(), key: b.column(0).type, "piece": pa.int32(), "token_start": pa.int64(), "tokens": pa.int64(), "loss_tokens": pa.int64()}
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = len(e.encode_ordinary(t)) if t else 0
                 if not n:
                     continue
-                cut = t.find("\n")
-                loss = n - (len(e.encode_ordinary(t[: cut + 1])) if 0 <= cut < len(t) - 1 else 0)
-                loss = max(1, min(n, loss))
+                m = _PARAGRAPH.search(t)
+                asks = len(e.encode_ordinary(t[: m.end()])) if m and 0 < m.start() and m.end() < len(t) else 0
+                loss = max(1, n - asks)
                 for cid, (c, _, most) in caps.items():
                     open_[cid] += [(k, *p) for p in pieces(n, loss, c, most)]
             for cid in caps:
-                while len(open_[cid]) >= GROUP:
+                while len(open_[cid]) >= group[cid]:
                     done = flush(cid, False)
                     if done is not None:
                         yield done
         for cid in caps:
-            done = flush(cid, True)
-            if done is not None:
-                yield done
+            if open_[cid]:
+                done = flush(cid, True)
+                if done is not None:
+                    yield done
 
     kind = dict(docs.dtypes)[key]
     schema = f"capacity_id int, container_id bigint, position int, `{key}` {kind}, piece int, token_start bigint, tokens bigint, loss_tokens bigint"
-    return docs.filter(F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)
+    return docs.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(run, schema)
+
+
+def _with_limits(capacities: list[tuple[int, int]], loss_share: float) -> Column:
+    rows = [F.struct(*[F.lit(x).cast("bigint").alias(n) for x, n in zip((c, *limits(c, loss_share)), ("capacity_tokens", "most_tokens", "most_segments", "most_loss"))]) for _, c in capacities]
+    return F.create_map(*[x for (cid, _), r in zip(capacities, rows) for x in (F.lit(cid), r)])[F.col("capacity_id")]
+
+
+def _containers(packed: DataFrame) -> DataFrame:
+    return packed.groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum("loss_tokens").alias("l"))
+
+
+def fill_rates(packed: DataFrame, capacities: list[tuple[int, int]], loss_share: float = LOSS_SHARE) -> DataFrame:
+    """(capacity_id, capacity_tokens, containers, least, items, tokens, loss_tokens, fill, fill_segments, fill_loss): the share of each limit in use; least: containers that any packing needs. Two partial aggregations."""
+    out = _containers(packed).groupBy("capacity_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"), F.sum("l").alias("loss_tokens"))
+    out = out.withColumn("m", _with_limits(capacities, loss_share))
+    share = lambda a, b: F.round(F.col(a) / (F.col("containers") * F.col(b)), 6)
+    least = F.greatest(*[F.ceil(F.col(a) / F.col(b)) for a, b in (("tokens", "m.most_tokens"), ("items", "m.most_segments"), ("loss_tokens", "m.most_loss"))])
+    return out.select(
+        "capacity_id", "m.capacity_tokens", "containers", least.alias("least"), "items", "tokens", "loss_tokens",
+        share("tokens", "m.most_tokens").alias("fill"), share("items", "m.most_segments").alias("fill_segments"), share("loss_tokens", "m.most_loss").alias("fill_loss"),
+    )
 
 
-def fill_rates(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """(capacity_id, capacity_tokens, containers, items, tokens, fill): two partial aggregations."""
-    per = packed.groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    out = per.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"))
-    return out.join(capacities, "capacity_id").select("capacity_id", "capacity_tokens", "containers", "items", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+def violations(packed: DataFrame, docs: DataFrame, capacities: list[tuple[int, int]], loss_share: float = LOSS_SHARE, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(capacity_id, id, what): containers above a limit, and items whose tokens are not placed once each or that are split although they fit. Empty for every packing."""
+    m = F.col("m")
+    over = _containers(packed).withColumn("m", _with_limits(capacities, loss_share))
+    over = over.filter((F.col("t") > m["most_tokens"]) | (F.col("n") > m["most_segments"]) | (F.col("l") > m["most_loss"])).select("capacity_id", F.col("container_id").alias("id"), F.lit("limit").alias("what"))
+    of = packed.groupBy("capacity_id", key).agg(F.sum("tokens").alias("got"), F.count_distinct("token_start").alias("parts"), F.max(F.col("token_start") + F.col("tokens")).alias("end"))
+    want = docs.select(key, token_count(text, path).alias("tokens")).filter(F.col("tokens") > 0).groupBy(key).agg(F.max("tokens").alias("size"), F.sum("tokens").alias("want"))
+    want = want.select("*", F.explode(F.array(*[F.lit(cid) for cid, _ in capacities])).alias("capacity_id")).withColumn("m", _with_limits(capacities, loss_share))
+    wrong = want.join(of, [key, "capacity_id"], "full_outer")
+    bad = ~F.coalesce((F.col("got") == F.col("want")) & (F.col("end") == F.col("size")) & ((F.col("parts") == 1) | (F.col("size") > m["most_tokens"])), F.lit(False))
+    return over.unionByName(wrong.filter(bad).select("capacity_id", F.col(key).cast("bigint").alias("id"), F.lit("tokens").alias("what")))

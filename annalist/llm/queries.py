@@ -69,11 +69,18 @@ def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     """Container, place and size of every text, for each capacity."""
-    return packing.pack_documents(table(spark, d, "documents"), _capacities(spark, d))
+    return packing.pack_documents(spread(table(spark, d, "documents").select("doc_id", "text")), _capacities(spark, d))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_rates(p8_packed(spark, d), table(spark, d, "pack_capacities"))
+    """How full the containers are in each of their limits."""
+    return packing.fill_rates(p8_packed(spark, d), _capacities(spark, d))
+
+
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What breaks a limit, is lost or placed twice: nothing."""
+    packed = Scratch(spark, "p8").cut(p8_packed(spark, d))
+    return packing.violations(packed, table(spark, d, "documents").select("doc_id", "text"), _capacities(spark, d))
 
 
 def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +98,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "sent_start", "sent_end")
+    return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text")), with_text=False).select("doc_id", "sent_start", "sent_end")
 
 
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +107,8 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p5_redacted_documentations": p5_redacted_documentations, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p5_redacted_documentations": p5_redacted_documentations, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_violations": p8_violations, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p8_violations": "select cast(0 as int) as capacity_id, cast(0 as bigint) as id, '' as what where false",
+}
