@@ -87,12 +87,12 @@ def pack(items: list[tuple[int, int]], tokens: int, segments: int, loss: int) ->
         while seats and room:
             # the segments' part of the product is the same for all items
             a, c = by_tokens * room, by_loss * free
-            both, best, top = a + c, -1, -1.0
+            best, top = -1, -1.0
             k = alive(max(k, bisect_left(down, -room)))
             i = k
             while i < n:
                 t = sizes[i]
-                if t * both <= top:
+                if t * a + (t if t < free else free) * c <= top:
                     break
                 x = losses[i]
                 if x <= free:
