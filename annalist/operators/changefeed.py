@@ -5,8 +5,10 @@ void), or the largest id where the commit is null (such events are never void).
 order, so events delivered again, late or out of order change nothing that they should not. The row in force of a key
 is the state row with the largest id, unless it is a deletion.
 
-A hot key never gathers in one task: the state is merged per (key, commit, flag), with partial aggregation before the
-shuffle, and the last row of a key is a maximum, again pre-aggregated. Writers of one bucket are split by commit.
+The base lies hashed into bucketed files. A batch is routed to the buckets by the one shuffle there is and staged beside
+them; the touched buckets of base and batch are then sorted and merged where they lie, and what comes out replaces them
+with a new manifest. Buckets follow key, commit and flag, so a hot key spreads over all of them; its events without a
+commit are kept in SALTS parts, which spread too. The last row of a key is a maximum, aggregated before its shuffle.
 
 Cases: a null function_name, file path or repository is a key part of its own; a null is_deleted counts as false; rows
 without id have no place in the order and are ignored; repeated rows and empty feeds leave the state as it is.
@@ -14,11 +16,11 @@ without id have no place in the order and are ignored; repeated rows and empty f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.sources.bucket_store import BucketStore
+from annalist.sources.bucket_store import BucketStore, in_place
 
 KEY = ("repository_id", "file_path", "function_name")
 STATE = T.StructType([
@@ -31,11 +33,15 @@ STATE = T.StructType([
 ])
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    """One row per (bucket, key, commit, flag)."""
-    return rows.groupBy("bucket", *KEY, "commit_sha", "deleted").agg(
-        F.when(F.col("commit_sha").isNull(), F.max("event_id")).otherwise(F.min("event_id")).alias("event_id")
-    )
+#: Parts in which a key's events without a commit are kept.
+SALTS = 16
+
+
+def _merge_key() -> Column:
+    """Key, commit, flag and part as one text without ambiguity: each value with its length before it."""
+    part = F.when(F.col("commit_sha").isNull(), F.pmod(F.col("event_id"), F.lit(SALTS)))
+    cols = [*(F.col(k) for k in (*KEY, "commit_sha", "deleted")), part]
+    return F.concat(*[F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in cols])
 
 
 class FeedTable:
@@ -45,25 +51,30 @@ class FeedTable:
         self.store = BucketStore(spark, root, {"state": STATE}, buckets)
 
     def route(self, events: DataFrame) -> DataFrame:
-        return events.filter(F.col("id").isNotNull()).select(
-            *KEY, "commit_sha", F.coalesce("is_deleted", F.lit(False)).alias("deleted"), F.col("id").cast("long").alias("event_id"),
-            self.store.bucket(*KEY).alias("bucket"),
-        )
+        rows = events.filter(F.col("id").isNotNull()).select(*KEY, "commit_sha", F.coalesce("is_deleted", F.lit(False)).alias("deleted"), F.col("id").cast("long").alias("event_id"))
+        rows = rows.withColumn("bucket", self.store.bucket(_merge_key())).repartition(self.store.buckets, "bucket")
+        n = F.when(F.col("commit_sha").isNull(), F.max("event_id")).otherwise(F.min("event_id"))
+        part = F.when(F.col("commit_sha").isNull(), F.pmod(F.col("event_id"), F.lit(SALTS))).alias("part")
+        return rows.groupBy("bucket", *KEY, "commit_sha", "deleted", part).agg(n.alias("event_id")).drop("part")
 
     def apply(self, events: DataFrame) -> list[int]:
         """Merges a batch into the buckets it touches and commits; returns those buckets."""
-        before = self.store.manifest()
-        changes = self.route(events)
-        if before["tables"]["state"]:
-            touched = sorted(r[0] for r in changes.select("bucket").distinct().collect())  # at most as many as buckets
-            rows = self.store.read("state", touched, before).select(*changes.columns).unionByName(changes)
-        else:
-            touched, rows = [], changes
-        merged = _merge(rows)
-        spread = F.pmod(F.xxhash64("commit_sha"), F.lit(2))
-        folder, written = self.store.write("state", merged.repartition(F.col("bucket"), spread))
-        self.store.commit(before, "state", [(folder, written)], touched or written)
-        return touched or written
+        store, before = self.store, self.store.manifest()
+        staged = store.write("state", self.route(events), list(KEY), shuffle=False)
+        touched = staged[1]
+        if any(str(b) in before["tables"]["state"] for b in touched):
+            base = store.read("state", touched, before).withColumn("k", _merge_key())
+            new = store.written("state", staged).withColumn("k", _merge_key())
+            base, new = base.alias("a"), new.alias("b")
+            either = lambda c: F.coalesce(f"a.{c}", f"b.{c}").alias(c)
+            a, b = F.col("a.event_id"), F.col("b.event_id")
+            last = F.when(F.coalesce("a.commit_sha", "b.commit_sha").isNull(), F.greatest(a, b)).otherwise(F.least(a, b))
+            with in_place(store.spark):
+                merged = base.join(new.hint("merge"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k") == F.col("b.k")), "full_outer")
+                merged = merged.select(*[either(c) for c in (*KEY, "commit_sha", "deleted", "bucket")], last.alias("event_id"))
+                staged = store.write("state", merged, list(KEY), shuffle=False)
+        store.commit(before, {"state": ([staged], touched)})
+        return touched
 
     def current_ids(self) -> DataFrame:
         """Per key the id of the row in force."""

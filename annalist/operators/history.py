@@ -1,14 +1,16 @@
 """Problem 6: the history of changing attributes, each version with its period of validity.
 
-`HistoryStore` keeps the versions of every entity in buckets; the raw changes stay in the logs they come from. A batch
-of changes, late and corrected ones included, is applied by rebuilding affected chains: only the touched entities' raw
-changes are retrieved from the log, all their versions are built anew, and one commit puts these in the place of the
-old chains. What a touched bucket holds of other entities is copied within the scan's tasks, without a shuffle.
-
-A build has one shuffle, by bucket: chains are made and written where it ends. An entity may hold a third of all rows, so
-entities of more than HOT changes are found first. Their changes are deduplicated with partial aggregation and their
-chains built in slices of a day: at one time only one event of an entity counts, so a slice holds no more events than a
-day has clock ticks in use. Neighbours across slices come from summaries, one row per hot entity and slice.
+`HistoryStore` keeps the raw changes and the versions of every entity in buckets under one manifest. A batch of changes,
+late and corrected ones included, is applied by rebuilding affected chains: the batch joins the raw changes, those of the
+touched entities are retrieved from the buckets they lie in, all their versions are built anew, and one commit puts these
+in the place of the old chains, together with the batch's raw changes. What a touched bucket holds of other entities is
+copied within the scan's tasks. Only what arrives is shuffled: raw changes lie by bucket, so chains are built in place.
+
+An entity may hold a third of all rows, so entities of more than HOT changes are found first. Their raw changes lie in
+buckets by entity and day, as the manifest tells, and their chains are built in slices of a day: at one time only one event of an entity counts,
+so a slice holds no more events than a day has clock ticks in use. Neighbours across slices come from summaries, one row
+per hot entity and slice. What an entity had before it became hot stays where it is;
+when such an entity is touched, all buckets are read.
 
 Cases: events without time or id are ignored; rows with one id are one event; at one time the greatest id counts; a null
 name is ''; a null value is ''; a null is_deleted is false; deletions of what is not valid change nothing.
@@ -35,6 +37,13 @@ VERSIONS = T.StructType([
     T.StructField("valid_from", T.LongType()),
     T.StructField("valid_to", T.LongType()),
 ])
+RAW = T.StructType([
+    *VERSIONS.fields[:4],
+    T.StructField("at", T.LongType()),
+    T.StructField("id", T.LongType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("gone", T.BooleanType()),
+])
 DAY = 86_400 * 1_000_000
 #: Changes of one entity from which its chain is built in slices.
 HOT = 1_000_000
@@ -74,51 +83,78 @@ def _beside(rows: DataFrame, what: Column, name: str, back: bool, hot: bool) ->
     return null_safe_join(rows, carry, parts, "left").withColumn(name, F.coalesce(name, "carry")).drop("carry")
 
 
-def build_versions(changes: DataFrame, bucket: Column, hot: list[int] | None = None) -> DataFrame:
-    """Versions of all entities in `changes`, with their bucket, lying by bucket."""
-    rows = changes.withColumn("bucket", bucket).withColumn("slice", F.lit(-1).cast("long"))
+def _day(at: str) -> Column:
+    return F.greatest(F.floor(F.col(at) / F.lit(DAY)).cast("long"), F.lit(0))
+
+
+def build_versions(changes: DataFrame, hot: list[int] | None = None) -> DataFrame:
+    """Versions of all entities in `changes`, which lie by column bucket; those of hot entities come out by their days."""
+    rows = changes.withColumn("slice", F.lit(-1).cast("long"))
     one = F.max(F.struct("id", "gone", "value")).alias("e")
-    if hot:
-        is_hot = _key_hash().isin(hot)
-        sliced = rows.filter(is_hot).withColumn("slice", F.greatest(F.floor(F.col("at") / F.lit(DAY)).cast("long"), F.lit(0)))
-        sliced = sliced.groupBy("bucket", *KEY, "slice", "at").agg(one).select("bucket", *KEY, "slice", "at", "e.id", "e.gone", "e.value")
-        rows = rows.filter(~is_hot).select(*sliced.columns).unionByName(sliced)
-    rows = (rows.repartition("bucket", "slice") if hot else rows.repartition("bucket")).groupBy("bucket", *KEY, "slice", "at").agg(one)
-    rows = rows.select("bucket", *KEY, "slice", "at", "e.gone", "e.value")
-    rows = _beside(rows, F.struct("gone", "value"), "prev", True, bool(hot))
-    live_before = F.coalesce(~F.col("prev.gone"), F.lit(False))
-    starts = ~F.col("gone") & (~live_before | (F.col("value") != F.col("prev.value")))
-    points = rows.filter(starts | (F.col("gone") & live_before)).drop("prev")
-    points = _beside(points, F.col("at"), "valid_to", False, bool(hot))
-    return points.filter(~F.col("gone")).select(*KEY, "value", F.col("at").alias("valid_from"), "valid_to", "bucket")
+    parts = ("bucket", *KEY, "slice", "at")
+    chains = None
+    for is_hot in (False, True) if hot else (False,):
+        own = rows
+        if hot:
+            own = rows.filter(_key_hash().isin(hot) if is_hot else ~_key_hash().isin(hot))
+        if is_hot:
+            own = own.withColumn("slice", _day("at")).withColumn("bucket", F.lit(-1))
+        own = own.groupBy(*parts).agg(one).select(*parts, "e.gone", "e.value")
+        own = _beside(own, F.struct("gone", "value"), "prev", True, is_hot)
+        live_before = F.coalesce(~F.col("prev.gone"), F.lit(False))
+        starts = ~F.col("gone") & (~live_before | (F.col("value") != F.col("prev.value")))
+        points = own.filter(starts | (F.col("gone") & live_before)).drop("prev")
+        points = _beside(points, F.col("at"), "valid_to", False, is_hot)
+        own = points.filter(~F.col("gone")).select(*KEY, "value", F.col("at").alias("valid_from"), "valid_to", "bucket")
+        chains = own if chains is None else chains.unionByName(own)
+    return chains
 
 
 class HistoryStore:
+    """`hot`: changes of an entity from which it is worked on by days."""
+
     def __init__(self, scratch: Scratch, root: str, buckets: int | None = None, hot: int = HOT):
         self.scratch, self.hot = scratch, hot
-        self.store = BucketStore(scratch.spark, root, {"versions": VERSIONS}, buckets)
+        self.store = BucketStore(scratch.spark, root, {"raw": RAW, "versions": VERSIONS}, buckets)
+
+    def _place(self, rows: DataFrame, at: str, hot: list[int]) -> DataFrame:
+        """Adds the bucket: by entity, of hot ones by entity and day."""
+        day = F.when(_key_hash().isin(hot), _day(at)) if hot else F.lit(None).cast("long")
+        return rows.withColumn("bucket", self.store.bucket(*KEY, day))
 
-    def _build(self, changes: DataFrame) -> tuple[str, list[int]]:
-        fresh = build_versions(changes, self.store.bucket(*KEY), hot_keys(changes, self.hot))
-        return self.store.write("versions", fresh)
+    def _versions_of(self, raw: DataFrame, hot: list[int]) -> tuple[str, list[int]]:
+        fresh = build_versions(raw, hot)
+        if not hot:
+            return self.store.write("versions", fresh, shuffle=False)
+        return self.store.write("versions", self._place(fresh, "valid_from", hot))
 
     def load(self, log: DataFrame) -> None:
-        """Builds all chains of a log into an empty store."""
-        before = self.store.manifest()
-        folder, written = self._build(log)
-        self.store.commit(before, "versions", [(folder, written)], list(range(self.store.buckets)))
-
-    def apply(self, batch: DataFrame, log: DataFrame) -> list[int]:
-        """Rebuilds the chains of the entities in `batch` from `log`, the raw changes with the batch among them; returns the touched buckets."""
-        before = self.store.manifest()
-        keys = self.scratch.cut(batch.select(*KEY).distinct().withColumn("bucket", self.store.bucket(*KEY)), "touched")
-        touched = [r[0] for r in keys.select("bucket").distinct().collect()]  # at most as many as buckets
-        near = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-        raw = null_safe_join(log, near.drop("bucket"), KEY, "left_semi")
-        fresh = self._build(self.scratch.cut(raw, "raw"))
-        kept = null_safe_join(self.store.read("versions", touched, before), near, (*KEY, "bucket"), "left_anti")
-        self.store.commit(before, "versions", [self.store.write("versions", kept), fresh], touched)
-        return sorted(touched)
+        """Stores a log and builds all its chains in an empty store."""
+        store, before = self.store, self.store.manifest()
+        hot = hot_keys(log, self.hot)
+        raw = store.write("raw", self._place(log, "at", hot))
+        fresh = self._versions_of(store.written("raw", raw), hot)
+        store.commit(before, {"raw": ([raw], store.values), "versions": ([fresh], store.values)}, by_day=hot)
+
+    def apply(self, batch: DataFrame) -> list[int]:
+        """Adds a batch of changes and rebuilds the chains of its entities; returns the touched buckets."""
+        store, before = self.store, self.store.manifest()
+        by_day = before.get("by_day", [])
+        staged = store.write("raw", self._place(batch, "at", by_day))
+        new = store.written("raw", staged)
+        keys = self.scratch.cut(new.select(*KEY).distinct(), "touched")
+        few = keys.count() <= BROADCAST_KEYS
+        near = F.broadcast(keys) if few else keys
+        spread = [r[0] for r in keys.select(_key_hash().alias("k")).filter(F.col("k").isin(by_day)).distinct().collect()] if by_day else []  # at most as many as entities by day
+        touched = store.values if spread else staged[1]
+        raw = null_safe_join(store.read("raw", touched, before), near, KEY, "left_semi").unionByName(new)
+        hot = sorted({*spread, *hot_keys(raw, self.hot)})
+        raw = raw if few else raw.repartition(store.buckets, "bucket")
+        fresh = self._versions_of(raw, hot)
+        kept = null_safe_join(store.read("versions", touched, before), near, KEY, "left_anti")
+        kept = store.write("versions", kept, shuffle=not few)
+        store.commit(before, {"raw": ([staged], []), "versions": ([kept, fresh], touched)}, by_day=sorted({*by_day, *hot}))
+        return touched
 
     def versions(self) -> DataFrame:
         return self.store.read("versions").drop("bucket")

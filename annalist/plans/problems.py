@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalist.operators import changefeed, hierarchy, history, snapshots
 from annalist.session import Scratch
+from annalist.sources.bucket_store import default_buckets
 from annalist.sources.tables import table
 
 
@@ -63,14 +64,15 @@ def _cut_id(log: DataFrame) -> int:
 def _history(spark: SparkSession, d: str) -> history.HistoryStore:
     registry, docs = table(spark, d, "function_registry"), table(spark, d, "documentations")
     scratch = Scratch(spark, "p6")
-    store = history.HistoryStore(scratch, scratch.path("history"))
     a, b = _cut_id(registry), _cut_id(docs)
 
     def changes(r: DataFrame, c: DataFrame) -> DataFrame:
         return history.to_changes(r, "function_registry", "updated_at", F.lower("content_hash")).unionByName(history.to_changes(c, "documentations", "created_at", F.col("commit_sha")))
 
-    store.load(changes(registry.filter(F.col("id") <= a), docs.filter(F.col("id") <= b)))
-    store.apply(changes(registry.filter(F.col("id") > a), docs.filter(F.col("id") > b)), changes(registry, docs))
+    first = changes(registry.filter(F.col("id") <= a), docs.filter(F.col("id") <= b))
+    store = history.HistoryStore(scratch, scratch.path("history"), default_buckets(spark, first))
+    store.load(first)
+    store.apply(changes(registry.filter(F.col("id") > a), docs.filter(F.col("id") > b)))
     return store
 
 
@@ -80,7 +82,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _feed(spark: SparkSession, d: str) -> changefeed.FeedTable:
     docs = table(spark, d, "documentations").select("id", *changefeed.KEY, "commit_sha", "is_deleted")
-    feed = changefeed.FeedTable(spark, Scratch(spark, "p7").path("feed"))
+    feed = changefeed.FeedTable(spark, Scratch(spark, "p7").path("feed"), default_buckets(spark, docs))
     cut = _cut_id(docs)
     feed.apply(docs.filter(F.col("id") <= cut))
     feed.apply(docs.filter(F.col("id") > cut))

@@ -7,7 +7,7 @@ import pytest
 
 from annalist.operators import changefeed, hierarchy, history, snapshots
 from annalist.schemas import COMMITS, DOCUMENTATIONS
-from annalist.sources.bucket_store import BucketStore, ConcurrentChange
+from annalist.sources.bucket_store import BucketStore, ConcurrentChange, bucket_values
 
 SNAP = "snapshot_no int, loaded_at timestamp_ntz, registry_id bigint, repository_id bigint, file_path string, function_name string, content_hash string, is_deleted boolean, bucket string, at int"
 T0 = datetime(2024, 1, 1)
@@ -135,11 +135,11 @@ def test_history_matches_brute_force(spark, scratch, hot):
     rows += rows[:30]
     r.shuffle(rows)
     store = history.HistoryStore(scratch, scratch.path("h"), buckets=4, hot=hot)
-    cut = 300
+    cut, later = 300, 350
     frame = lambda x: spark.createDataFrame(x, RAW)
     store.load(frame([x for x in rows if x[5] < cut]))
-    touched = store.apply(frame([x for x in rows if x[5] >= cut]), frame(rows))
-    assert touched
+    assert store.apply(frame([x for x in rows if cut <= x[5] < later]))
+    assert store.apply(frame([x for x in rows if x[5] >= later]))
     got = [tuple(x) for x in store.versions().collect()]
     assert len(got) == len(set(got)) and set(got) == brute_versions(rows)
 
@@ -151,7 +151,7 @@ def test_history_empty(spark, scratch):
     none = history.to_changes(log, "d", "created_at", F.col("commit_sha"))
     store = history.HistoryStore(scratch, scratch.path("h"), buckets=2)
     store.load(none)
-    store.apply(none, none)
+    store.apply(none)
     assert history.as_text(store.versions()).count() == 0
 
 
@@ -202,13 +202,76 @@ def test_store_commits_once(spark, scratch):
     rows = spark.range(20).withColumnRenamed("id", "k").withColumn("bucket", store.bucket("k"))
     before = store.manifest()
     one, two = store.write("t", rows), store.write("t", rows.limit(3))
-    store.commit(before, "t", [one], one[1])
+    store.commit(before, {"t": ([one], one[1])})
     with pytest.raises(ConcurrentChange):
-        store.commit(before, "t", [two], two[1])
+        store.commit(before, {"t": ([two], two[1])})
     assert store.read("t").count() == 20  # the loser's rows are not seen
     assert store.vacuum() == 1 and store.read("t").count() == 20
 
 
+def test_store_racing_writers(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import types as T
+
+    store = BucketStore(spark, scratch.path("s"), {"t": T.StructType([T.StructField("k", T.LongType())])}, 4)
+    before = store.manifest()
+
+    def one(_):
+        try:
+            return store.commit(before, {"t": ([], [])})["generation"]
+        except ConcurrentChange:
+            return 0
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(one, range(8))) == [0] * 7 + [1]
+
+
+def test_bucket_values_are_sparks(spark):
+    from pyspark.sql import functions as F
+
+    values = bucket_values(50)
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v int").select("v", F.pmod(F.hash("v"), F.lit(50)).alias("b")).orderBy("b").collect()]
+    assert got == values
+
+
+def test_stores_keep_their_buckets(spark, scratch):
+    """Opened again under other shuffle partitions, a feed and a history go on in the buckets they have."""
+    r = random.Random(9)
+    rows = [(i, r.choice([1, 2]), "f", r.choice("abcd"), r.choice(["c1", "c2", "c3", None]), r.random() < 0.3, 7, 7) for i in range(200)]
+    raw = [("o", x[1], "f", x[3], r.randrange(40), x[0], r.choice("abc"), x[5]) for x in rows]
+    at, ah = scratch.path("feed"), scratch.path("history")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, parts in enumerate((17, 23, 4)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            feed, store = changefeed.FeedTable(spark, at), history.HistoryStore(scratch, ah)
+            own = slice(k * 70, (k + 1) * 70)
+            feed.apply(spark.createDataFrame(rows[own], DOCS))
+            (store.apply if k else store.load)(spark.createDataFrame(raw[own], RAW))
+            assert feed.store.buckets == store.store.buckets == 17
+        assert {x["id"] for x in feed.current_ids().collect()} == brute_feed(rows)
+        assert {tuple(x) for x in store.versions().collect()} == brute_versions(raw)
+        with pytest.raises(ValueError, match="17 buckets"):
+            changefeed.FeedTable(spark, at, 16)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_batches_shuffle_only_what_arrives(spark, scratch):
+    """The base of a feed is merged where it lies: one scan of the touched buckets, no exchange of them."""
+    feed = changefeed.FeedTable(spark, scratch.path("feed"), buckets=8)
+    rows = [(i, 1, "f", str(i), "c", False, 7, 7) for i in range(400)]
+    feed.apply(spark.createDataFrame(rows, DOCS))
+    touched = feed.apply(spark.createDataFrame([(1000, 1, "f", "x", "c", False, 7, 7)], DOCS))
+    assert len(touched) == 1
+    before = feed.store.manifest()["tables"]["state"]
+    assert len({f for x in before.values() for f in x}) == 2  # the other buckets' files are as they were
+    plan = feed.store.read("state", touched).groupBy("bucket", "file_path").count()._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in plan and "Exchange" not in plan
+    assert feed.current_ids().count() == 401
+
+
 def test_paths_and_descendants_of_the_table(spark):
     """Both written out over all commits, against parents followed one by one."""
     from annalist.plans import problems
