@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from annalist.session import Scratch
 
+#: Components worked on at the same time.
+CONCURRENCY = 4
 MAX_ITERATIONS, RETRIES, BACKOFF = 3, 2, 0.5
 APPROVED_FROM = 8
 
@@ -100,13 +102,16 @@ def run_component(model: Model, members: list[dict], retries: int = RETRIES) ->
 RESULT = "n bigint, comp bigint, name string, documentation string, score int, iteration int, approved boolean, written boolean, error string, attempts int"
 
 
-def run_levels(scratch: Scratch, model: Model, tasks: DataFrame, deps: DataFrame, levels: DataFrame, external: DataFrame | None = None) -> DataFrame:
+def run_levels(scratch: Scratch, model: Model, tasks: DataFrame, deps: DataFrame, levels: DataFrame, external: DataFrame | None = None, concurrency: int = CONCURRENCY) -> DataFrame:
     """SCH1-5: documents all tasks level by level; returns RESULT rows.
 
     tasks: (n, comp, name, source, mode, existing_documentation); deps: (n, dep); levels: (comp, level) as of
     `graph.levels`; external: (n, name, text), documentations of functions outside. Members of one component come to one
-    row, sorted by name; a component is a cycle of calls, so it is small.
+    row, sorted by name; a component is a cycle of calls, so it is small. A level's components are worked on by
+    `concurrency` tasks, each one by one.
     """
+    if concurrency < 1:
+        raise ValueError("concurrency must be at least 1")
     top = levels.agg(F.max("level")).first()[0]
     done = None
     for level in range(0 if top is None else top + 1):
@@ -133,7 +138,7 @@ def run_levels(scratch: Scratch, model: Model, tasks: DataFrame, deps: DataFrame
                     rows += [(m["n"], comp, m["name"], m.get("documentation"), m.get("score"), m.get("iteration"), m.get("approved"), False if error else m.get("written"), error, attempts) for m in got]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype(object)
 
-        new = scratch.cut(comps.mapInPandas(work, RESULT), "documented")
+        new = scratch.cut(comps.repartition(concurrency, "comp").mapInPandas(work, RESULT), "documented")
         done = new if done is None else done.unionByName(new)
     return done if done is not None else tasks.sparkSession.createDataFrame([], RESULT)
 

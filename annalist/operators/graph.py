@@ -154,11 +154,20 @@ def component_edges(comps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def component_sizes(comps: DataFrame) -> DataFrame:
-    """GRA4, GRA6: (comp, size, is_cycle, comp_id): ids by each component's earliest member, dense over the graph."""
+    """GRA6: (comp, size, is_cycle)."""
     n = F.count(F.lit(1))
     return comps.groupBy("comp").agg(n.alias("size"), (n > 1).alias("is_cycle"))
 
 
+def component_ids(scratch: Scratch, comps: DataFrame, places: DataFrame) -> DataFrame:
+    """GRA4: (comp, comp_id): components numbered from 0 by their earliest member; places: (n, pos), of a repeated node the last one counts."""
+    from annalist.operators.scan import row_numbers
+
+    at = places.groupBy("n").agg(F.max("pos").alias("pos"))
+    first = comps.join(at, "n").groupBy("comp").agg(F.min(F.struct("pos", "n")).alias("first"))
+    return row_numbers(scratch, first, ["first"], "comp_id").select("comp", "comp_id")
+
+
 def levels(scratch: Scratch, comps: DataFrame, cedges: DataFrame, small: int = SMALL) -> DataFrame:
     """GRA7: (comp, level): 0 without dependency, else one above the highest dependency. A cycle among components raises."""
     return _levels(scratch, comps.select("comp").distinct(), cedges.select(F.col("comp").alias("x"), F.col("dep_comp").alias("y")), 0, small)
@@ -195,6 +204,30 @@ def topological_order(lv: DataFrame, scratch: Scratch) -> DataFrame:
     return row_numbers(scratch, lv, ["level", "comp"], "seq")
 
 
+def queue_order(scratch: Scratch, lv: DataFrame, cedges: DataFrame) -> DataFrame:
+    """GRA7: (comp, level, seq) in the order of a first-in-first-out queue that begins with the components without dependencies.
+
+    A component joins the queue when its last dependency leaves it, so all of a level come before the next level; within a
+    level the place of that dependency decides, and then the number. One round per level.
+    """
+    from annalist.operators.scan import row_numbers
+
+    top = lv.agg(F.max("level")).first()[0]
+    done, count = None, 0
+    for level in range(0 if top is None else top + 1):
+        here = lv.filter(F.col("level") == level)
+        if done is None:
+            here = here.withColumn("last", F.lit(0).cast("long"))
+        else:
+            deps = cedges.join(done.select(F.col("comp").alias("dep_comp"), "seq"), "dep_comp").groupBy("comp").agg(F.max("seq").alias("last"))
+            here = here.join(deps, "comp")
+        new = row_numbers(scratch, here.select("comp", "level", "last"), ["last", "comp"], "n")
+        new = scratch.cut(new.select("comp", "level", (F.col("n") + count).alias("seq")), "queue")
+        count += new.count()
+        done = new if done is None else done.unionByName(new)
+    return done if done is not None else lv.withColumn("seq", F.lit(0).cast("long")).limit(0)
+
+
 def ready(lv: DataFrame, bottom: DataFrame, slots: int, within: tuple[str, ...] = ()) -> DataFrame:
     """LIM2: of each level (of each group `within`) the `slots` components with the highest bottom level, then the lowest number: what a scheduler starts first."""
     from pyspark.sql import Window as W

@@ -12,23 +12,29 @@ KEY = (*FILE, "function_name")
 
 
 def current(states: DataFrame) -> DataFrame:
-    """The last stored state of each key: by id, LIM1 made deterministic."""
+    """The last stored state of each key, by id."""
     rest = [c for c in states.columns if c not in KEY]
     return states.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "id").alias("s")).select(*KEY, "s.*")
 
 
+def first_rows(rows: DataFrame) -> DataFrame:
+    """LIM1: of rows that share a key, which should be unique, the one with the least id."""
+    rest = [c for c in rows.columns if c not in KEY]
+    return rows.groupBy(*KEY).agg(F.min_by(F.struct(*rest), "id").alias("s")).select(*KEY, "s.*")
+
+
 def last_wins(functions: DataFrame, pos: str = "pos") -> DataFrame:
     """AGG4: one row per function, the last one, at the place where the name was first seen."""
     rest = [c for c in functions.columns if c not in (*KEY, pos)]
     return functions.groupBy(*KEY).agg(F.max_by(F.struct(*rest), pos).alias("s"), F.min(pos).alias(pos)).select(*KEY, "s.*", pos)
 
 
-def diff(functions: DataFrame, registry: DataFrame) -> DataFrame:
+def diff(functions: DataFrame, registry: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """JOI1: per function of the files at hand new, changed, unchanged or deleted. functions: KEY, content_hash; registry: current states.
 
-    Only files that have functions now are compared; a file without any is a removed file's business.
+    files: (FILE) of the files compared; if None, those that have functions now.
     """
-    files = functions.select(*FILE).distinct()
+    files = (functions if files is None else files).select(*FILE).distinct()
     live = null_safe_join(registry.filter(~F.col("is_deleted")), files, FILE, "left_semi").select(*[F.col(k).alias(f"r_{k}") for k in KEY], F.col("content_hash").alias("old_hash"))
     cur = functions.select(*KEY, F.col("content_hash").alias("new_hash"), F.lit(True).alias("here"))
     on = None

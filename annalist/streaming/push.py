@@ -20,7 +20,7 @@ STATUSES = ("added", "modified", "removed")
 
 
 def parse(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """SRC2: push payloads as columns; missing keys are empty, unreadable payloads are dropped by their missing repository name."""
+    """SRC2: push payloads as columns; missing keys are empty; payloads without a repository's name go to `unreadable`."""
     p = payloads.withColumn("p", F.from_json(column, PUSH))
     empty = lambda c: F.coalesce(c, F.lit(""))
     return p.select(
@@ -29,6 +29,12 @@ def parse(payloads: DataFrame, column: str = "value") -> DataFrame:
     ).filter(F.col("full_name") != "")
 
 
+def unreadable(payloads: DataFrame, column: str = "value") -> DataFrame:
+    """The payloads that `parse` drops, as they came."""
+    name = F.from_json(column, PUSH)["repository"]["full_name"]
+    return payloads.filter(F.coalesce(name, F.lit("")) == "")
+
+
 def changed_files(pushes: DataFrame, key: list[str]) -> DataFrame:
     """AGG2, FLT1, SET1: (key, status, file_path): the union of a push's commits, supported files only, each once per status."""
     c = pushes.select(*key, F.explode("commits").alias("c"))
@@ -52,16 +58,20 @@ def notifications(pushes: DataFrame) -> DataFrame:
     return pushes.select("full_name", F.to_json(F.struct(F.lit("push").alias("type"), "full_name", "branch", "after")).alias("message"))
 
 
-def start(pushes: DataFrame, out: str, checkpoint: str, process: Callable[[DataFrame], dict[str, DataFrame]]) -> StreamingQuery:
-    """STR1: runs `process` on the parsed pushes of each batch and writes its tables, after the notifications, under the batch's number."""
+def start(pushes: DataFrame, out: str, checkpoint: str, process: Callable[[DataFrame], dict[str, DataFrame]], once: bool = False) -> StreamingQuery:
+    """STR1: runs `process` on the parsed pushes of each batch and writes its tables, after the notifications, under the batch's number.
+
+    once: ends when what is there has been read. Payloads that can't be read are kept as the table `unreadable`.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         pushes_ = parse(batch)
-        tables = {"notifications": notifications(pushes_)} | process(pushes_)
+        tables = {"notifications": notifications(pushes_), "unreadable": unreadable(batch)} | process(pushes_)
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
-    return pushes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    query = pushes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if once else query).start()
 
 
 def replay(spark: SparkSession, steps: DataFrame, apply: Callable[[str, DataFrame], None], advance: Callable[[str], None], files: DataFrame) -> int:

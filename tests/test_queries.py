@@ -3,10 +3,10 @@
 import pytest
 from verify import compare
 
-from annalist.plans import catalog, problems
+from annalist.plans import catalog, problems, service
 
 SF = "/root/testdata/sf0.001"
-NAMES = [*catalog.QUERIES, *problems.QUERIES]
+NAMES = [*catalog.QUERIES, *service.QUERIES, *problems.QUERIES]
 
 
 @pytest.mark.parametrize("name", NAMES)
