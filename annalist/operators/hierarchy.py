@@ -49,29 +49,27 @@ class Forest:
     def depths(self) -> DataFrame:
         """(tree, node, label, root, depth) for every node; a node whose ancestry never ends has root '' and depth -1."""
         tops = self._tops()
-        own = self.nodes.join(tops, "head")
-        ends = own.select("id", F.col("rootid"), (F.col("base") + F.col("off")).alias("depth"))
-        roots = self.names.select(F.col("id").alias("rootid"), F.col("label").alias("root"))
-        known = ends.join(roots, "rootid", "left").select("id", "root", "depth")
+        known = self.nodes.join(tops, "head").select("id", "root", (F.col("base") + F.col("off")).alias("depth"))
         return self.names.join(known, "id", "left").select(
             "tree", "node", "label", F.coalesce("root", F.lit("")).alias("root"), F.when(F.col("root").isNull(), -1).otherwise(F.col("depth")).cast("long").alias("depth")
         )
 
     def _tops(self) -> DataFrame:
-        """(head, base, rootid, path) of the segments that reach a root, by reverse peel order; path: (head of each segment from the root on, where the next one hangs)."""
+        """(head, base, root, path) of the segments that reach a root, by reverse peel order; path: (head of each segment from the root on, where the next one hangs); root: the root's label, which goes down with the segments, so no node looks for it."""
         got = None
         for phase in reversed(range(self.phases)):
             s = self.segments.filter(F.col("phase") == phase)
             none = F.array().cast("array<struct<head:bigint,tail:bigint,tail_off:bigint>>")
-            new = s.filter(F.col("up").isNull()).select("head", F.lit(0).cast("long").alias("base"), F.col("head").alias("rootid"), none.alias("path"))
+            labels = self.names.select(F.col("id").alias("head"), F.col("label").alias("root"))
+            new = s.filter(F.col("up").isNull()).join(labels, "head").select("head", F.lit(0).cast("long").alias("base"), "root", none.alias("path"))
             if got is not None:
-                above = got.select(F.col("head").alias("pseg"), F.col("base").alias("pbase"), "rootid", F.col("path").alias("ppath"))
+                above = got.select(F.col("head").alias("pseg"), F.col("base").alias("pbase"), "root", F.col("path").alias("ppath"))
                 hung = s.filter(F.col("pseg").isNotNull()).join(above, "pseg")
                 step = F.struct(F.col("pseg").alias("head"), F.col("up").alias("tail"), F.col("poff").alias("tail_off"))
-                new = new.unionByName(hung.select("head", (F.col("pbase") + F.col("poff") + 1).alias("base"), "rootid", F.concat("ppath", F.array(step)).alias("path")))
+                new = new.unionByName(hung.select("head", (F.col("pbase") + F.col("poff") + 1).alias("base"), "root", F.concat("ppath", F.array(step)).alias("path")))
             new = self.scratch.cut(new, "tops")
             got = new if got is None else got.unionByName(new)
-        return got if got is not None else self.nodes.limit(0).select("head", F.col("off").alias("base"), F.col("id").alias("rootid"), F.array().cast("array<struct<head:bigint,tail:bigint,tail_off:bigint>>").alias("path"))
+        return got if got is not None else self.nodes.limit(0).select("head", F.col("off").alias("base"), F.lit("").alias("root"), F.array().cast("array<struct<head:bigint,tail:bigint,tail_off:bigint>>").alias("path"))
 
     def totals(self) -> DataFrame:
         """(head, total): subtree sizes of segments, in peel order."""
@@ -88,7 +86,7 @@ class Forest:
         return got if got is not None else self.nodes.limit(0).select("head", F.col("off").alias("total"))
 
     def intervals(self) -> DataFrame:
-        """(id, rootid, depth, pre, size, head, off, path): preorder number within the tree from 0, nodes of the subtree with the node itself."""
+        """(id, root, depth, pre, size, head, off, path): preorder number within the tree from 0, nodes of the subtree with the node itself."""
         sc, totals, tops = self.scratch, self.totals(), self._tops()
         hung = self.segments.filter(F.col("up").isNotNull()).join(totals, "head").select("head", "up", "pseg", "total")
         at_node = hung.groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("hung"))
@@ -110,7 +108,7 @@ class Forest:
             got = self.nodes.limit(0).select("head", F.col("off").alias("start"))
         seg = tops.join(got, "head").join(totals, "head")
         size = F.col("total") - F.col("off") - F.col("before")
-        return nodes.join(seg, "head").select("id", "rootid", (F.col("base") + F.col("off")).alias("depth"), (F.col("start") + F.col("off") + F.col("before")).alias("pre"), size.alias("size"), "head", "off", "path")
+        return nodes.join(seg, "head").select("id", "root", (F.col("base") + F.col("off")).alias("depth"), (F.col("start") + F.col("off") + F.col("before")).alias("pre"), size.alias("size"), "head", "off", "path")
 
 
 def peel(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Forest:
@@ -172,7 +170,7 @@ def _cut_counting(scratch: Scratch, df: DataFrame, what) -> tuple[DataFrame, int
 
 
 def hierarchy(forest: Forest) -> DataFrame:
-    """One row per node: depth, root, subtree size, preorder number and path.
+    """One row per node: depth, root, subtree size, preorder number, path and ancestry (rooted, cycle, below_cycle).
 
     path lists (label of a segment's first node, its last node on the path, how many nodes of it are on the path) from
     the root to the node itself. It has at most log2 entries of the rows, where the nodes themselves would be as many as
@@ -186,11 +184,12 @@ def hierarchy(forest: Forest) -> DataFrame:
     b = names.select(F.col("id").alias("tail"), F.col("label").alias("last"))
     paths = steps.join(a, "head").join(b, "tail").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "first", "last", "n"))).alias("p"))
     paths = paths.select("id", F.transform("p", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["n"].alias("n"))).alias("path"))
-    roots = names.select(F.col("id").alias("rootid"), F.col("label").alias("root"))
-    known = iv.drop("path").join(roots, "rootid").join(paths, "id").select("id", "root", "depth", "pre", "size", "path")
-    return names.join(known, "id", "left").select(
+    known = iv.drop("path").join(paths, "id").select("id", "root", "depth", "pre", "size", "path")
+    circles = forest.cyclic.select("id", F.lit(True).alias("circle"))
+    ancestry = F.when(F.col("root").isNotNull(), "rooted").when(F.col("circle"), "cycle").otherwise("below_cycle")
+    return names.join(known, "id", "left").join(circles, "id", "left").select(
         "tree", "label", F.coalesce("root", F.lit("")).alias("root"), F.coalesce("depth", F.lit(-1)).cast("long").alias("depth"),
-        "pre", (F.col("size") - 1).alias("n_below"), "path", F.col("root").isNull().alias("endless"),
+        "pre", (F.col("size") - 1).alias("n_below"), "path", ancestry.alias("ancestry"),
     )
 
 

@@ -24,15 +24,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.hierarchy(_forest(spark, d))
-    path = F.array_join(F.transform("path", lambda s: F.concat_ws(" ", s["first"], s["last"], s["n"])), " / ")
-    return h.select(F.col("tree").alias("repository_id"), F.col("label").alias("sha"), F.col("root").alias("root_sha"), "depth", "pre", "n_below", path.alias("path"))
+    steps = F.aggregate("path", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    return h.select(F.col("tree").alias("repository_id"), F.col("label").alias("sha"), F.col("root").alias("root_sha"), "depth", "n_below", "ancestry", steps.alias("path_nodes"))
 
 
 def p1_full_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every commit with its path written out, root first; null where the ancestry never ends."""
+    """Every commit with its path written out, root first and a slash between; null where the ancestry never ends."""
     forest = _forest(spark, d)
     rows = forest.names.select("tree", "label").join(hierarchy.full_paths(forest), ["tree", "label"], "left")
-    return rows.select(F.col("tree").alias("repository_id"), F.col("label").alias("sha"), "path")
+    return rows.select(F.col("tree").alias("repository_id"), F.col("label").alias("sha"), F.array_join("path", "/").alias("path"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +118,22 @@ walk(repository_id, k, root_sha, depth) as (
 select n.repository_id, n.sha, coalesce(w.root_sha, '') as root_sha, coalesce(w.depth, -1) as depth
 from nodes n left join walk w on w.repository_id = n.repository_id and w.k = n.k
 """
+_P1_WALK = f"""
+with recursive {_P1_NODES}
+walk(repository_id, k, sha, root_sha, depth, path) as (
+  select n.repository_id, n.k, n.sha, n.sha, cast(0 as bigint), n.sha from nodes n where not exists (select 1 from nodes p where p.repository_id = n.repository_id and p.k = n.parent)
+  union all
+  select c.repository_id, c.k, c.sha, w.root_sha, w.depth + 1, concat(w.path, '/', c.sha) from walk w join nodes c on c.repository_id = w.repository_id and c.parent = w.k),
+below(repository_id, k, sha, up) as (
+  select w.repository_id, w.k, w.sha, n.parent from walk w join nodes n on n.repository_id = w.repository_id and n.k = w.k
+  union all
+  select b.repository_id, b.k, b.sha, n.parent from below b join nodes n on n.repository_id = b.repository_id and n.k = b.up),
+pairs as (select b.repository_id, n.sha, b.sha as below_sha from below b join nodes n on n.repository_id = b.repository_id and n.k = b.up),
+lost as (select n.* from nodes n where not exists (select 1 from walk w where w.repository_id = n.repository_id and w.k = n.k)),
+around(repository_id, k, next) as (
+  select repository_id, k, parent from lost union select a.repository_id, a.k, l.parent from around a join lost l on l.repository_id = a.repository_id and l.k = a.next),
+circle as (select distinct repository_id, k from around where next = k)
+"""
 _P2 = """
 with last as (
   select snapshot_no, repository_id, file_path, function_name, lower(content_hash) as h, coalesce(is_deleted, false) as gone,
@@ -158,6 +174,12 @@ l as (select *, row_number() over (partition by repository_id, file_path, functi
 """
 ORACLES: dict[str, str] = {
     "p1_found": _P1,
+    "p1_full_paths": _P1_WALK + "select n.repository_id, n.sha, w.path from nodes n left join walk w on w.repository_id = n.repository_id and w.k = n.k",
+    "p1_descendants": _P1_WALK + "select * from pairs",
+    "p1_hierarchy": _P1_WALK + """, size as (select repository_id, sha, count(*) as n from pairs group by 1, 2)
+select n.repository_id, n.sha, coalesce(w.root_sha, '') as root_sha, coalesce(w.depth, -1) as depth, case when w.k is not null then coalesce(s.n, 0) end as n_below,
+case when w.k is not null then 'rooted' when c.k is not null then 'cycle' else 'below_cycle' end as ancestry, w.depth + 1 as path_nodes
+from nodes n left join walk w on w.repository_id = n.repository_id and w.k = n.k left join size s on s.repository_id = n.repository_id and s.sha = n.sha left join circle c on c.repository_id = n.repository_id and c.k = n.k""",
     "p2_found": _P2,
     "p2_change_counts": f"select snapshot_no, repository_id, count(*) filter (where change_kind = 'added') as added, count(*) filter (where change_kind = 'removed') as removed, count(*) filter (where change_kind = 'changed') as changed from ({_P2}) group by 1, 2",
     "p6_found": _P6,

@@ -289,6 +289,6 @@ def test_paths_and_descendants_of_the_table(spark):
             at = (repo, first[at][1].lower())
         want[(repo, sha)] = None if at in seen else path[::-1]
     got = problems.QUERIES["p1_full_paths"](spark, d).collect()
-    assert {(r["repository_id"], r["sha"]): r["path"] for r in got} == want and len(got) == len(want)
+    assert {(r["repository_id"], r["sha"]): r["path"] and r["path"].split("/") for r in got} == want and len(got) == len(want)
     pairs = [tuple(r) for r in problems.QUERIES["p1_descendants"](spark, d).collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(repo, up, sha) for (repo, sha), p in want.items() if p for up in p[:-1]}
