@@ -7,7 +7,8 @@ of URLs, authorization headers, query parameters, tokens of known formats, and `
 literal's content as written. `mask` replaces just that, and leaves delimiters, escapes and line breaks as they stand.
 
 Not flagged: placeholders, references to variables, vaults or the environment, hashes and checksums, public keys and
-certificates, values that are plainly something else (addresses, paths, numbers, flags, single words, sentences).
+certificates, values that are plainly something else (addresses, paths, numbers, flags, sentences, and plain words
+unless a password's name asks for them).
 Cases: null and empty texts hold nothing; a row's equal credentials are one; texts may be of any length and are read
 whole. One pass within the scan's tasks; a filter on names and signs of credentials runs before Python is reached.
 """
@@ -44,6 +45,8 @@ _USER = re.compile(r"(?<!\S)-u[ \t]+[\"']?[\w.@-]+:([^\s\"'`]+)")
 
 #: Words of identifiers. A strong word names a credential; a weak one does for values that look random.
 _STRONG = set("password passwd pwd passphrase passwort kennwort contrasena contraseña clave senha secret apikey credential credentials cred creds bearer jeton schluessel schlüssel pw passcode pass".split())
+#: Of these even a plain word, or several, is the value.
+_PASSWORDS = set("password passwd pwd passphrase passwort kennwort contrasena contraseña senha passcode passe".split())
 _WEAK = set("token tokens auth authorization key pat".split())
 _KEY_OF = set("api access secret private signing session encryption auth master client shared service account storage license".split())
 _TOKEN_OF = set("access auth refresh api bearer session bot deploy id oauth".split())
@@ -53,6 +56,13 @@ _NOT = set(
     "hash hashes sha sha1 sha256 sha512 md5 digest checksum label labels name url uri path file dir id ids len length size type types count prefix suffix hint prompt policy field fields expiry expires expiration ttl timeout header message msg error text title "
     "help doc docs description format pattern regex public pem cert certificate fingerprint etag env var variable ref vault min max limit enabled required rotation days age column index param params parameter placeholder example".split()
 )
+#: Words given to a password's name that are none: kinds, states and parts of sentences.
+_NO_PASSWORD = set(
+    "a an and any are ask be bearer bool boolean can cannot char confirm confirmed current digest disabled do does empty enabled enter env environment error expired failed false field file for forgot forgotten form from hidden in incorrect input invalid is it "
+    "keychain keyring label ldap length login manual match mismatch missing must new no none not null object of old on optional or password passwords plain please prompt protected reset required same secret set should show simple static stdin string strong text the this to true "
+    "type undefined unset username user value varchar vault visible was weak with wrong your".split()
+)
+_PHRASE = re.compile(r"[a-zäöüßñ]{5,}|[a-zäöüßñ0-9]+(?: [a-zäöüßñ0-9]+){2,}")
 _WORDS = re.compile(r"[A-ZÄÖÜ]+(?=[A-ZÄÖÜ][a-zäöüßñ])|[A-ZÄÖÜ]?[a-zäöüßñ]+\d*|[A-ZÄÖÜ]+\d*|\d+")
 
 _PLACEHOLDER = re.compile(
@@ -127,9 +137,16 @@ def looks_random(value: str) -> bool:
     return bool(_UUID.match(value)) or ((any(c.isdigit() for c in value) or re.search(r"[a-z][A-Z]{2,}", value)) and any(c.isalpha() for c in value) and len(set(value)) >= 8 and not re.match(r"^[a-z]+(?:[-_./:][a-z]+)*[-_./:]?\d{0,4}$", value))
 
 
+def is_phrase(value: str, name: str) -> bool:
+    """Whether plain words are the password that the name asks for: one or several in lower case, none of which says what it is or isn't."""
+    if not _PHRASE.fullmatch(value) or is_placeholder(value) or _NO_PASSWORD.intersection(value.split()):
+        return False
+    return any(w.lower().rstrip("0123456789") in _PASSWORDS for w in _WORDS.findall(name)) and name_strength(name) == 2
+
+
 def is_value(value: str, strength: int) -> bool:
     """Whether a value given to a name of this strength is a usable credential."""
-    if not value or strength == 0 or len(value) < 5:
+    if strength == 0 or len(value) < 4 or len(value) == 4 and (strength < 2 or value.isalnum() and (value.isalpha() or value.isdigit())):
         return False
     if any(c.isspace() for c in value) or is_placeholder(value) or _OTHER.match(value) or "-----BEGIN" in value:
         return False
@@ -174,7 +191,7 @@ def _plain_text(s: str, out: list[tuple[int, int]], base: int = 0, prose: bool =
                 v = m.group(g)
                 if g == 5:
                     v = v.rstrip(".")
-                if v and is_value(v, k):
+                if v and (is_value(v, k) or g != 5 and is_phrase(v, m.group(1))):
                     out.append((base + m.start(g), base + m.start(g) + len(v)))
     if prose:
         for m in _IS.finditer(s):
@@ -194,21 +211,40 @@ _SUBSCRIPT = re.compile(r"\[\s*[\"']([\w.\-]+)[\"']\s*\]\s*=\s*[rbfu]{0,2}\Z")
 _COMPARED = re.compile(r"[=!<>]=\s*[rbfuLR]{0,2}\Z")
 
 
+#: Code points before a literal in which its name stands, white space not counted.
+NAME_WITHIN = 120
+
+
+def _before(s: str, at: int) -> str:
+    """The code before a place, as far back as its name may stand; white space is no distance."""
+    n = NAME_WITHIN
+    got = s[max(0, at - n) : at]
+    while n < at and len(got.strip()) < NAME_WITHIN // 2:
+        n *= 2
+        got = s[max(0, at - n) : at]
+    return got
+
+
 def _code(lang: str, s: str, out: list[tuple[int, int]]) -> None:
+    left = -1  # where the comments right before the literal begin
     for p in scan(lang, s):
         a, b = p.body_start, p.body_end
-        if b - a < 5 or p.kind == "r":
-            continue
-        body = s[a:b]
         if p.kind == "c":
-            if _SIGN.search(body):
-                _plain_text(body, out, a)
+            left = left if left >= 0 and not s[end : p.start].strip() else p.start
+            end = p.end
+            if b - a >= 5 and _SIGN.search(s, a, b):
+                _plain_text(s[a:b], out, a)
+            continue
+        at, left = (left if left >= 0 and not s[end : p.start].strip() else p.start), -1
+        if b - a < 4 or p.kind == "r":
             continue
-        if " " not in body and "\n" not in body:
-            before = s[max(0, p.start - 120) : p.start]
+        body = s[a:b]
+        if "\n" not in body and (" " not in body or _PHRASE.fullmatch(body)):
+            before = _before(s, at)
             if not _COMPARED.search(before):
                 m = _SUBSCRIPT.search(before) or _BEFORE.search(before)
-                if m and is_value(body, name_strength(m.group(1).split(".")[-1] if "." in m.group(1) else m.group(1))):
+                name = m.group(1).split(".")[-1] if m else ""
+                if m and (is_value(body, name_strength(name)) or is_phrase(body, name) and not m.group().rstrip().endswith((",", "("))):
                     out.append((a, b))
                     continue
         if _SIGN.search(body):
@@ -229,7 +265,7 @@ def _config(s: str, out: list[tuple[int, int]]) -> None:
             v = m.group(g)
             if g == 4:
                 v = re.split(r"[ \t]+[#;]", v)[0].rstrip(", \t")
-            if is_value(v, k):
+            if is_value(v, k) or is_phrase(v, m.group(1)):
                 out.append((m.start(g), m.start(g) + len(v)))
     _plain_text(s, out)
 

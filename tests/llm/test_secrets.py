@@ -133,3 +133,28 @@ def test_documentations_are_redacted(spark):
     assert found and {r["id"] for r in out if r["redacted"]} == set(found)
     assert not any(x in r["content"] for r in out if r["content"] for x in found.get(r["id"], ()))
     assert all(find(r["content"], None) == [] for r in out)
+
+
+WIDE = " " * 130
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a.py", f"password{WIDE}={WIDE}'x7Kq2pLm9'", ["x7Kq2pLm9"]),
+        ("a.js", f"password =\n{WIDE}/* a\n comment */ 'x7Kq2pLm9'", ["x7Kq2pLm9"]),
+        ("a.py", 'db_password = "correct horse battery staple"', ["correct horse battery staple"]),
+        ("a.py", "password = 'hunter'", ["hunter"]),
+        ("a.yml", "password: hunter\nname: x", ["hunter"]),
+        ("a.py", "pin_passwd = 'a1!x'", ["a1!x"]),
+        ("a.py", "secret = 'a" + "b1C" * 2000 + "'", ["a" + "b1C" * 2000]),
+        ("a.py", "password = 'required'", []),
+        ("a.yml", "password: string\n", []),
+        ("a.js", 't("password", "enter your password")', []),
+        ("a.js", 'label("password", "forgotten")', []),
+        ("a.js", 'pw2 = "window"', []),
+        ("a.md", "The password: hunter is here", []),
+    ],
+)
+def test_names_far_away_and_plain_words(path, text, want):
+    assert [text[a:b] for a, b in secrets.find(text, path)] == want
