@@ -2,9 +2,9 @@
 
 A lexer per language splits a file into literals, comments and code; a pushdown stack runs over the brackets of the code.
 That finds literals and comments that never end, brackets that don't match, and files that end too early. Lines of merge
-conflicts count where they are code, so a marker within a string or comment does not. What passes is held against the
-shape of its language: characters that no token has, two operands side by side, operators without operand, statements
-and declarations of another language. Python is read by Python's own parser at the end.
+conflicts count where they are code, so a marker within a string or comment does not. What passes goes token by token
+through the language's statement grammar (`grammar`): two operands side by side, operators without operand, statements
+cut off, signs and words of another language. Java and Go have a fixed top level. Python is read by Python's own parser.
 
 Only syntax counts. Cases: null sources, empty or blank files and other extensions are never flagged; a null path has no
 language; line ends may be mixed. The work is one pass over each file, whatever its length, within the scan's tasks; no
@@ -23,92 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.lexing import language_of, scan, skeleton, unbalanced
+from annalist.llm.grammar import grammar_error
 
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: .*)?$|^={7}$", re.M)
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 
-#: The languages' words after which (or before which) another word may follow.
-_JS_BEFORE = "let const var function class return typeof new await async of in instanceof case delete void yield throw else do export default import from as extends static get set"
-_TS_BEFORE = _JS_BEFORE + " type interface enum namespace module declare abstract readonly public private protected is keyof infer asserts satisfies override unique implements global out"
-_JS_AFTER = "of in instanceof as from extends"
-_TS_AFTER = _JS_AFTER + " implements is satisfies"
-_JAVA_WORDS = (
-    "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface "
-    "long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while record sealed permits non var yield when module requires exports"
-)
-_CPP_WORDS = (
-    "alignas alignof and asm auto bool break case catch char class co_await co_return co_yield concept const consteval constexpr constinit const_cast continue decltype default delete do double "
-    "dynamic_cast else enum explicit export extern false final float for friend goto if inline int long mutable namespace new noexcept not nullptr operator or override private protected public register "
-    "reinterpret_cast requires return short signed sizeof static static_assert static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while xor import module"
-)
-_GO_WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
-
-
-#: Long lists of numbers and indentation say nothing about the language; without them the shapes are searched faster.
-_NUMBERS = re.compile(r"(?:-?\d[\w.]*,\s*){8,}")
-_INDENT = re.compile(r"\n[ \t]+")
-
-
-def _any(words: str) -> str:
-    return "|".join(words.split())
-
-
-def _pair(before: str, after: str) -> str:
-    """Two words on one line of which neither allows the other beside it."""
-    return rf"(?<![\w$.#])(?!(?:{_any(before)})\b)[A-Za-z_$][\w$]*[ \t]+(?!(?:{_any(after)})\b)[A-Za-z_$]"
-
-
-def _three(words: str) -> str:
-    """Three plain words in a row (capitals may be macros)."""
-    w = rf"(?!(?:{_any(words)})\b)(?![A-Z][A-Z0-9_]*\b)[A-Za-z_]\w*"
-    return rf"(?<![\w.@#]){w}[ \t]+{w}[ \t]+{w}"
-
-
-_HANGING = r"(?<![-+])[-+](?![-+=>])\s*[)\]};,]|(?<!\[)=(?!=)\s*[)\]};,]|[({\[]\s*%|%\s*[})\]]"
-_PYTHONIC = r"^[ \t]*(?:def|class|if|elif|for|while|except|with|async)\b[^\n;{}?]*:[ \t]*$|^[ \t]*(?:else|try|finally):[ \t]*$"
-_NOPAREN = r"(?<![\w$.])(?:if|while|switch)\b(?!\s*\()"
-_END = r"(?:[-+*/%&|^=<,.?:]|=>)\s*\Z"
-_DIFF = r"^(?:@@ -\d|\+\+\+ \S|--- \S|diff --git |index [0-9a-f]{7,})"
-
-
-def _script(before: str, after: str, more: str) -> re.Pattern[str]:
-    return re.compile(
-        "|".join([
-            _pair(before, after), _HANGING, _PYTHONIC, _NOPAREN, _DIFF, r"(?:[-+*%&|^=<,.?:]|=>)\s*\Z", r":=|::|->", "\\\\|�", r"^[ \t]*#(?!!)[ \t]*\w+[ \t]*[\"<]|#[ \t]",
-            r"(?<![\w$.])(?:const|let|var|new|import|from|return[ \t]+typeof|function|class|extends|case|throw)\s*\Z", r'""[ \t]*[A-Za-z_$](?<!""[ \t]f)(?<!""[ \t][aio])', r"\A\s*<",
-            r"(?<![\w$.])for\b(?!\s*(?:await\s*)?\()", r'(?<![\w$.])import\s*\(\s*(?:""\s*){2,}\)|^[ \t]*import[ \t]+[\w$]+(?:\.[\w$]+)*[ \t]*;?[ \t]*$', more,
-        ]),
-        re.M,
-    )
-
-
-_SHAPE = {
-    "javascript": _script(_JS_BEFORE, _JS_AFTER, r"\(\s*[\w$]+\??\s*:|(?<![\w$.])(?:let|const|var)\s+[\w$]+\s*:|^[^?\n]*\)\s*:\s*[A-Za-z_$][\w$<>\[\], |.]*(?:\{|=>)|(?<![\w$.])enum\b"),
-    "typescript": _script(_TS_BEFORE, _TS_AFTER, r"(?<![\w$.])package\b"),
-    "java": re.compile(
-        "|".join([
-            _three(_JAVA_WORDS), _HANGING, _PYTHONIC, _NOPAREN, _DIFF, ":=|=>|===|!==", r"[#`\\" + "�]", r"\b(?:return|throw)\b[^;{}]*\}", r'""\s+(?!instanceof\b)[A-Za-z_]|\b\d[\w.]*\s+[A-Za-z_]', r"(?<!\[)\[\s*\w+\s*\]\s+(?!instanceof\b)[a-z]",
-            r"(?<![\w.])(?:function|func|const)\s+\w", r"(?<![\w$.])for\b(?!\s*\()", r"\b(?:let|auto|def)\s+\w+\s*=",
-        ]),
-        re.M,
-    ),
-    "go": re.compile(
-        "|".join([
-            _three(_GO_WORDS), _HANGING, _PYTHONIC, _DIFF, "=>|===|!==|->|::", r"[?@#$\\" + "�]", r"(?<![\w.])(?:while|function|class|async|await|try|def|let)[ \t]+[\w({]", r"\)\s*=>", r'""[ \t]+(?!if\b)[A-Za-z_]', r"\bfor\s*\([^()]*;",
-            r"^[ \t]*(?:public|private|protected|export|static)\b", r"\bif\b[^{}\n]*\n[ \t]*\{",
-        ]),
-        re.M,
-    ),
-    "cpp": re.compile(
-        "|".join([
-            _three(_CPP_WORDS), r"(?<![-+])[-+](?![-+=>])\s*[)\]};,]|[({\[]\s*%|%\s*[})\]]", _PYTHONIC, r"(?<![\w$.#])(?:if|while|switch)\b(?!\s*(?:constexpr\b\s*|!?\s*consteval\b\s*)?[({])", _DIFF, ":=|=>|===|!==", "[@`$?]{2}|[@`�]", r"\breturn\b[^;{}]*\}",
-            r"\b(?:const|let)\s+(?!(?:" + _any(_CPP_WORDS) + r")\b)\w+\s*=(?!=)", r"(?<![\w:,])\s(?:public|private|protected)\s+(?!(?:slots|Q_SLOTS)\b)\w+(?!\s*::)\s+\w", r"\A(?:public|private|protected)\s+\w", r"\bimport\s*[{(*]",
-            r"(?<![\w:])(?:function|func|def)\s+\w+\s*\(", r"\)\s*(?!(?:const|noexcept|override|final|mutable|volatile|try|requires|throw|do|else)\b)[a-z]\w*\s*\{", r"\b\d[\w.']*[ \t]*\n\s*(?:return|auto|int|if|for)\b", r"\Apackage\b|\A\s*<",
-            r'^[ \t]*(?:from|import)[ \t]+[\w.]+(?:[ \t]+import\b[^;\n]*)?[ \t]*$',
-        ]),
-        re.M,
-    ),
-}
+_DIFF = re.compile(r"^(?:@@ -\d|\+\+\+ \S|--- \S|diff --git |index [0-9a-f]{7,})", re.M)
 _JAVA_TOP = re.compile(
     r"(?:\s+|;|package\s+[\w.\s]+;|import\s+(?:static\s+)?[\w.\s]+(?:\.\s*\*\s*)?;|@[\w.]+(?!\s*\{)(?:\s*\(\))?|(?:open\s+)?module\s+[\w.]+\s*\{\}"
     r"|(?:(?:public|protected|private|abstract|final|static|strictfp|sealed|non-sealed)\s+)*(?:class|interface|enum|record|@\s*interface)\s+\w+[^;{}]*\{\})*\Z"
@@ -116,9 +36,7 @@ _JAVA_TOP = re.compile(
 _GO_LINE = re.compile(r"import[ \t]*(?:\(\)|(?:[\w.]+[ \t]+)?\"\")$|func\b[^{}]*\(\)|(?:var|const|type)\b")
 _GO_GOES_ON = tuple("+-*/%&|^=<>.,!")
 _C_DIRECTIVE = re.compile(r"^[ \t]*#[^\n]*(?:\\\n[^\n]*)*", re.M)
-_CPP_LOOSE = re.compile(r"[#\\]")
 _JS_LATE = re.compile(r"(?<![\w$.])(?:if|while|for|switch)\s*\(\)\s*(?:\Z|\})|(?<![\w$.])(?:function)\s*\*?\s*[\w$]*\s*\(\)\s*\Z|(?<![\w$.])class\s+[\w$]+\s*\Z|(?<![\w$.])import\s*\{\}\s*(?!\s*from)")
-_CPP_TAIL = re.compile(r"(?:\{\}|;)\s*\Z")
 
 
 def _reduced(code: str) -> str:
@@ -175,15 +93,11 @@ def syntax_error(path: str | None, source: str | None) -> str | None:
         return _python(s)
     if not code.strip():
         return None
-    m = _SHAPE[lang].search(_INDENT.sub("\n", _NUMBERS.sub("0, ", code)))
-    if m:
-        return "not " + lang + ": " + m.group().strip()[:40]
-    if lang == "cpp":
-        if _CPP_LOOSE.search(code):
-            return "stray character"
-        if not _CPP_TAIL.search(_reduced(code)):
-            return "premature end"
-        return None
+    if _DIFF.search(code):
+        return "a difference of files"
+    e = grammar_error(lang, code)
+    if e or lang == "cpp":
+        return e and f"not {lang}: {e}"[:60]
     top = _reduced(code)
     if lang == "java":
         return None if _JAVA_TOP.match(top) else "not java: top level"
