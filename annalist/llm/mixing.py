@@ -1,9 +1,13 @@
 """Problem 9: sources mixed to target shares of the total tokens.
 
 Hash-threshold histograms: each record has a hash; tokens are summed by source and hash bucket, the budget of a source
-ends in one bucket, and only that bucket is refined by the next bits of the hash, until one record is left in it. What
-lies below the threshold is chosen by a filter; nothing is sorted. As thresholds grow with the budget, smaller budgets
-choose subsets of larger ones.
+ends in one bucket, and only that bucket, written once, is refined by the next bits of the hash, until one record is left
+in it. What lies below the threshold is chosen by a filter; nothing is sorted. As thresholds grow with the budget,
+smaller budgets choose subsets of larger ones, unless a record is passed over.
+
+The record on the threshold is taken if the budget is passed by MISSING of it at most, and left out if no more than that
+stays open. A record too large for either is passed over and the threshold moves on behind it, so one long text doesn't
+spoil a small source's share; the choice is then a few ranges of hashes. With many records none is so large.
 
 The total is as large as the scarcest source allows at its most repeats, or a given number of tokens if that is less. A
 source whose budget exceeds its tokens is repeated in whole; the threshold decides who is used once more. Sums are
@@ -12,7 +16,7 @@ bucket at most, and sources are those of the targets (MOST_SOURCES at most).
 
 Cases: sources match by trimmed lower case; null sources, and sources without target, take no part and are reported with
 target 0; a source with a target but no tokens is left out of the total's bound and reported with share 0; records
-without tokens are never chosen; equal hashes are ordered by record id, equal ids count as one place.
+without tokens are never chosen; records of one id have one hash, so they stand or fall together.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from annalist.llm.tokens import VOCABULARY, token_count
 from annalist.session import Scratch
 
 BITS = 10
+#: Share of a budget that may stay open before a record is passed over.
+MISSING = 0.005
 MOST_SOURCES = 10_000
 
 
@@ -49,40 +55,68 @@ def plan(totals: list[tuple[str, int]], targets: list[tuple[str, float, int]], t
     return out
 
 
-def thresholds(scratch: Scratch, rows: DataFrame, budgets: dict[str, float]) -> dict[str, tuple[int, int | None]]:
-    """source -> (hash, id): records with a smaller (hash, id) are within the budget, to the nearest record.
-
-    rows: (id, source, tokens, h). Each round sums one level of the boundary buckets, by source and next bits.
+class _Cut:
+    """The search of one source's ranges of hashes, level by level."""
+
+    def __init__(self, budget: float):
+        self.left, self.open, self.begin = budget, MISSING * budget, 0
+        self.ranges: list[tuple[int, int]] = []
+        self.levels: list[tuple[int, list[tuple[int, int, int, int]]]] = []  # shift and the buckets still to come (number, tokens, least record, whether one hash), last level last
+
+    def _end(self, at: int) -> None:
+        if at > self.begin:
+            self.ranges.append((self.begin, at))
+
+    def go_on(self) -> tuple[int, int] | None:
+        """Takes buckets while they fit; the bucket (number, shift) to refine next, or None at the end."""
+        while self.levels:
+            shift, rest = self.levels[-1]
+            if not rest:
+                self.levels.pop()
+                continue
+            b, t, least, one = rest.pop(0)
+            if self.left >= t:
+                self.left -= t
+            elif not one and shift and least <= self.left + self.open:
+                return b, shift
+            elif one and t <= self.left + self.open:
+                self._end(b + 1 << shift)
+                return None
+            else:  # nothing in it fits
+                self._end(b << shift)
+                if self.left <= self.open:
+                    return None
+                self.begin = b + 1 << shift
+        self._end(1 << 63)
+        return None
+
+
+def thresholds(scratch: Scratch, rows: DataFrame, budgets: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """source -> ranges (from, below) of hashes whose records are within the budget, to MISSING of it where records allow.
+
+    rows: (id, source, tokens, h). Each round sums one level of the boundary buckets, by source and next bits; from the
+    second on it reads these buckets only.
     """
     spark = scratch.spark
-    state = {s: (0, 63, b) for s, b in budgets.items() if b > 0}  # source -> (prefix of the boundary bucket, bits below it, budget left)
-    out: dict[str, tuple[int, int | None]] = {s: (0, None) for s, b in budgets.items() if b <= 0}
-    while state:
-        bits = {s: min(BITS, low) for s, (_, low, _) in state.items()}
-        small = spark.createDataFrame([(s, p, low, low - bits[s]) for s, (p, low, _) in state.items()], "source string, prefix bigint, low int, shift int")
-        inside = rows.join(F.broadcast(small), "source").filter(F.expr("shiftright(h, low) = prefix OR low = 63"))
-        bucket = F.expr("shiftright(h, shift)").alias("bucket")
-        hist = inside.groupBy("source", bucket).agg(F.sum("tokens").alias("t"), F.countDistinct("h", "id").alias("n") if min(low for _, low, _ in state.values()) <= BITS else F.count(F.lit(1)).alias("n"))
+    cuts = {s: _Cut(b) for s, b in budgets.items()}
+    asked = {s: (0, 63) for s, b in budgets.items() if b > 0}
+    while asked:
+        small = spark.createDataFrame([(s, p, low, low - min(BITS, low)) for s, (p, low) in asked.items()], "source string, prefix bigint, low int, shift int")
+        inside = rows.join(F.broadcast(small), "source").filter(F.expr("low = 63 or shiftright(h, low) = prefix"))
+        if any(low < 63 for _, low in asked.values()):
+            inside = scratch.cut(inside, "boundary")
+        hist = inside.groupBy("source", "low", F.expr("shiftright(h, shift)").alias("bucket")).agg(F.sum("tokens").alias("t"), F.min("tokens").alias("least"), F.min("h").alias("a"), F.max("h").alias("b"))
         by: dict[str, list] = {}
         for r in hist.collect():  # at most 2**BITS rows a source
-            by.setdefault(r["source"], []).append((r["bucket"], r["t"], r["n"]))
+            by.setdefault(r["source"], []).append((r["bucket"], r["t"], r["least"], r["a"] == r["b"]))
         nxt = {}
-        for s, (_, low, left) in state.items():
-            shift = low - bits[s]
-            for b, t, n in sorted(by.get(s, [])):
-                if left >= t:
-                    left -= t
-                    continue
-                if n <= 1 or shift == 0:
-                    take = left * 2 >= t  # the record on the boundary goes to the nearer side
-                    out[s] = (((b + 1) if take else b) << shift, None)
-                else:
-                    nxt[s] = (b, shift, left)
-                break
-            else:
-                out[s] = (1 << 63, None)
-        state = nxt
-    return out
+        for s, (_, low) in asked.items():
+            cuts[s].levels.append((low - min(BITS, low), sorted(by.get(s, []))))
+            more = cuts[s].go_on()
+            if more:
+                nxt[s] = more
+        asked = nxt
+    return {s: c.ranges for s, c in cuts.items()}
 
 
 def mix(scratch: Scratch, docs: DataFrame, targets: list[tuple[str, float, int]], total: int | None = None, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -95,11 +129,10 @@ def mix(scratch: Scratch, docs: DataFrame, targets: list[tuple[str, float, int]]
     totals = [(r[0], r[1]) for r in used.groupBy("source").agg(F.sum("tokens")).collect()]
     goal = plan(totals, targets, total)
     cut = thresholds(scratch, used, {s: g[1] for s, g in goal.items()})
-    top = 1 << 63
-    small = scratch.spark.createDataFrame(
-        [(s, g[0], min(cut[s][0], top - 1), cut[s][0] >= top) for s, g in goal.items()], "source string, rounds int, below bigint, everything boolean"
-    )
-    chosen = used.join(F.broadcast(small), "source").withColumn("repeats", F.col("rounds") + (F.col("everything") | (F.col("h") < F.col("below"))).cast("int"))
+    ranges = [(s, g[0], [(a, min(b, (1 << 63) - 1), b >> 63 == 1) for a, b in cut[s]]) for s, g in goal.items()]
+    small = scratch.spark.createDataFrame(ranges, "source string, rounds int, ranges array<struct<first:bigint,below:bigint,everything:boolean>>")
+    within = F.exists("ranges", lambda r: (F.col("h") >= r["first"]) & (r["everything"] | (F.col("h") < r["below"])))
+    chosen = used.join(F.broadcast(small), "source").withColumn("repeats", F.col("rounds") + within.cast("int"))
     chosen = chosen.filter(F.col("repeats") > 0).select(F.col("id").alias("doc_id"), "source", "tokens", "repeats")
     want = scratch.spark.createDataFrame([(s, float(w)) for s, w, _ in targets], "source string, target_share double")
     got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))

@@ -114,11 +114,23 @@ def test_thresholds_match_sorting(spark, scratch):
     budgets = {"a": 5000.0, "b": 1.0}
     cut = mixing.thresholds(scratch, df, budgets)
     for s, want in budgets.items():
-        got = sum(t for _, x, t, h in rows if x == s and h < cut[s][0])
+        got = sum(t for _, x, t, h in rows if x == s and any(a <= h < b for a, b in cut[s]))
         tie = sum(t for _, x, t, h in rows if x == s and h == 77)
         assert abs(got - want) <= max(30, tie)
-    small = mixing.thresholds(scratch, df, {"a": 2500.0})
-    assert small["a"][0] <= cut["a"][0]  # a smaller budget chooses a subset
+    # where no record is as large as a group of equal hashes here, a smaller budget chooses a subset
+    small, large = (mixing.thresholds(scratch, df.filter("h <> 77"), {"a": b})["a"] for b in (2500.0, 5000.0))
+    assert len(small) == len(large) == 1 and small[0][1] <= large[0][1]
+
+
+def test_a_large_record_on_the_threshold_is_passed_over(spark, scratch):
+    rows = [(i, "a", 10, i * 1000 + 5) for i in range(100)] + [(500, "a", 5000, 20_001)]
+    df = spark.createDataFrame(rows, "id bigint, source string, tokens bigint, h bigint")
+    for budget in (600.0, 900.0):
+        cut = mixing.thresholds(scratch, df, {"a": budget})["a"]
+        assert len(cut) == 2 and sum(t for _, _, t, h in rows if any(a <= h < b for a, b in cut)) == budget
+    assert mixing.thresholds(scratch, df, {"a": 200.0})["a"][0][0] == 0
+    assert mixing.thresholds(scratch, df, {"a": 1e9})["a"] == [(0, 1 << 63)]
+    assert mixing.thresholds(scratch, df, {"a": 0.0})["a"] == []
 
 
 def test_mix(spark, scratch):
