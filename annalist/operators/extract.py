@@ -12,6 +12,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,14 +33,13 @@ _DEFS = {
     "go": re.compile(rf"\bfunc\s+(?:\([^()]*\)\s*)?({_ID})\s*(?:\[[^\]]*\]\s*)?\("),
     "java": re.compile(rf"(?<![\w$.@])({_ID})\s*\("),
     "cpp": re.compile(r"(?<![\w.>])((?:~?[A-Za-z_]\w*(?:<[^<>;(){}]*>)?::)*(?:operator\s*[^\s(]{1,3}|~?[A-Za-z_]\w*))\s*\("),
-    "javascript": re.compile(rf"\bfunction\b\s*\*?\s*({_ID})?\s*(?:<[^<>]*>\s*)?\(|=>|(?<![\w$.])(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*(#?{_ID})\s*(?:<[^<>()]*>\s*)?\("),
+    "javascript": re.compile(rf"\bfunction\b\s*\*?\s*({_ID})?\s*(?:<[^<>]*>\s*)?\(|=>|(?<![\w$.])(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*(?:\*\s*)?(#?{_ID})\s*(?:<[^<>()]*>\s*)?\("),
 }
 _DEFS["typescript"] = _DEFS["javascript"]
 _ASSIGNED = re.compile(rf"\b(?:const|let|var)\s+({_ID})\s*(?::[^=;{{}}]*)?=\s*(?:async\s*)?(?:<[^<>]*>\s*)?\Z")
 _ARROW_HEAD = re.compile(rf"(?:\)\s*:\s*[^=;(){{}}]+|{_ID})$")
 _NEXT_STATEMENT = re.compile(r"\s*(?:const|let|var|function|export|import|class|return|\Z)")
-#: Characters before a function in which its variable and modifiers stand.
-NEAR = 400
+_BOUNDS = re.compile(r"[;{}]")
 _CALL = {
     "javascript": re.compile(rf"(\bnew\s+)?((?:{_ID}\s*\??\.\s*)*#?{_ID})\s*(?:\?\.)?\("),
     "go": re.compile(rf"((?:{_ID}\s*\.\s*)*{_ID})\s*\("),
@@ -116,6 +116,13 @@ def _brace_functions(lang: str, s: str) -> list[dict]:
     found = []  # (start, end, name or None, error)
     heads = set()  # where parameters of definitions open
     script = lang in ("javascript", "typescript")
+    bounds = [m.start() for m in _BOUNDS.finditer(code)]
+
+    def statement(at: int) -> int:
+        """Where the statement around a place begins, whatever its length: behind the last brace or semicolon before it."""
+        k = bisect_left(bounds, at)
+        return bounds[k - 1] + 1 if k else 0
+
     for m in _DEFS[lang].finditer(code):
         tok = m.group()
         if tok == "=>":
@@ -124,7 +131,7 @@ def _brace_functions(lang: str, s: str) -> list[dict]:
                 at -= 1
             start = opener.get(at - 1) if at and code[at - 1] == ")" else None
             if start is None:
-                low = max(0, at - NEAR)
+                low = statement(at)
                 w = _ARROW_HEAD.search(code[low:at])
                 if not w:
                     continue
@@ -133,7 +140,7 @@ def _brace_functions(lang: str, s: str) -> list[dict]:
                     start = opener.get(start)
                     if start is None:
                         continue
-            head = code[max(0, start - NEAR) : start].rstrip()
+            head = code[statement(start) : start].rstrip()
             if head.endswith("async"):
                 start = code.rindex("async", 0, start)
                 head = head[:-5].rstrip()
@@ -171,54 +178,61 @@ def _brace_functions(lang: str, s: str) -> list[dict]:
         if brace < 0:
             continue
         if not keyword and lang != "go":
-            before = code[max(0, start - 200) : start].rstrip()
+            low = statement(start)
+            before = code[low:start].rstrip() or code[low - 1 : low]
             if lang == "cpp":
-                line = re.search(r"(?:^|[;{}])([^;{}]*)\Z", code[max(0, start - 300) : start])
-                lead = line.group(1) if line else ""
-                lead = re.sub(r"^[ \t]*#[^\n]*$|^\s*(?:public|private|protected)\s*:", "", lead, flags=re.M)
+                lead = re.sub(r"^[ \t]*#[^\n]*$|^\s*(?:public|private|protected)\s*:", "", code[low:start], flags=re.M)
                 if re.search(r"\b(?:return|else|new|case|throw)\s*$|[=(,?!+<>&|]\s*$", lead) and not re.search(r"[\w>]\s*[&*]+\s*$", lead):
                     continue
                 start = start - len(lead.lstrip()) if lead.strip() else start
             elif lang == "java":
                 if re.search(r"(?:[.=(,&|?!+]|->|\bnew(?:\s+[\w.<>]+)?|\breturn|\belse|\bthrow)$", before):
                     continue
-                low = max(0, start - NEAR)
-                lead = re.search(r"[^;{}]*\Z", code[low:start]).group().lstrip()
-                start -= len(lead)
+                start -= len(code[low:start].lstrip())
             elif before.endswith((".", "new", "=", "(", ":", "?", "&&", "||", "return", "=>")) or (before and before[-1] not in "{};)" and not before.endswith(",")):
                 continue
         if keyword:
-            lead = re.search(r"\basync\s+\Z", code[max(0, start - 12) : start])
+            low = statement(start)
+            lead = re.search(r"\basync\s+\Z", code[low:start])
             start -= len(lead.group()) if lead else 0
-            if name is None or re.search(r"[=(,:?&|]\s*\Z", code[max(0, start - 40) : start]):
-                got = _ASSIGNED.search(code[max(0, start - 200) : start].rstrip() + " ")
+            head = code[low:start].rstrip()
+            if name is None or head.endswith(tuple("=(,:?&|")):
+                got = _ASSIGNED.search(head + " ")
                 name = got.group(1) if got else None  # a function expression goes by its variable
         end, error = (pairs[brace] + 1, False) if brace in pairs else (len(code), True)
         heads.add(open_)
         found.append((start, end, name, error))
     found.sort(key=lambda x: (x[0], -x[1]))
-    out = []
-    for k, (a, b, name, error) in enumerate(found):
-        if name is None:
+    called = _callees(lang, code, found, heads)
+    return [{"name": name, "source": s[a:b], "language": lang, "callees": list(called[k]), "has_error": error, "pos": k} for k, (a, b, name, error) in enumerate(found) if name is not None]
+
+
+def _callees(lang: str, code: str, found: list[tuple], heads: set[int]) -> list[dict[str, None]]:
+    """The names each function calls, in order: one pass over the calls with a stack of the functions around them."""
+    script = lang in ("javascript", "typescript")
+    out: list[dict[str, None]] = [{} for _ in found]
+    around: list[int] = []
+    nxt = 0
+    for m in _CALL[lang].finditer(code):
+        at = m.start()
+        while nxt < len(found) and found[nxt][0] <= at:
+            while around and found[around[-1]][1] <= found[nxt][0]:
+                around.pop()
+            around.append(nxt)
+            nxt += 1
+        while around and found[around[-1]][1] <= at:
+            around.pop()
+        if not around or m.end() - 1 in heads or lang == "java" and code[at - 1 : at] == "@":
             continue
-        inner = [(x, y) for x, y, nm, _ in found if (x, y) != (a, b) and a <= x and y <= b and (nm is not None or script)]
-        callees: dict[str, None] = {}
-        for m in _CALL[lang].finditer(code, a, b):
-            at = m.start()
-            if any(x <= at < y for x, y in inner):
-                continue
-            new = m.group(1) if m.re.groups == 2 else None
-            text = m.group(m.re.groups)
-            if m.end() - 1 in heads:
-                continue
-            simple = re.split(r"::|->|\.|\?\.", re.sub(r"\s", "", text))[-1]
-            if new and script or simple in _NO_CALL or (lang == "go" and simple in _GO_WORDS):
-                continue
-            if lang == "java" and new:
-                simple = re.sub(r"\s", "", text)
-            if simple:
-                callees.setdefault(simple)
-        out.append({"name": name, "source": s[a:b], "language": lang, "callees": list(callees), "has_error": error, "pos": k})
+        new = m.group(1) if m.re.groups == 2 else None
+        text = m.group(m.re.groups)
+        simple = re.split(r"::|->|\.|\?\.", re.sub(r"\s", "", text))[-1]
+        if new and script or simple in _NO_CALL or (lang == "go" and simple in _GO_WORDS):
+            continue
+        if lang == "java" and new:
+            simple = re.sub(r"\s", "", text)
+        if simple:
+            out[around[-1]].setdefault(simple)
     return out
 
 

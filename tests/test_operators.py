@@ -244,3 +244,18 @@ def test_task_graph_against_brute_force(spark, scratch):
         assert sorted(r["seq"] for r in order if r["repository_id"] == repo) == list(range(sum(of[c] == repo for c in lv)))
     first = {(r["repository_id"], r["level"]): 0 for r in catalog.task_schedule(spark, d).collect()}
     assert set(first) == {(of[c], x) for c, x in lv.items()}
+
+
+def test_extraction_of_long_heads_and_many_functions():
+    """The text of a function reaches back over all of its head, and a file's functions cost their number, not its square."""
+    import time
+
+    notes = "".join(f'  @Note{i}("a {i}")\n' for i in range(60))
+    got = extract.functions_of("class A {\n" + notes + "  public int f(int a) { return g(a); }\n}\n", "A.java")
+    assert [(f["name"], f["callees"]) for f in got] == [("f", ["g"])] and got[0]["source"].count("@Note") == 60
+    blanks = " " * 900
+    got = extract.functions_of(f"const a ={blanks}async{blanks}(x) => {{ b(x) }}\nlet c ={blanks}function (y) {{ d(y) }}\n", "a.js")
+    assert [(f["name"], f["callees"]) for f in got] == [("a", ["b"]), ("c", ["d"])]
+    began = time.time()
+    got = extract.functions_of("".join(f"function f{i}(x) {{ return g{i}(x) + (function () {{ return h(x) }})(); }}\n" for i in range(5000)), "a.js")
+    assert len(got) == 5000 and got[7]["callees"] == ["g7"] and time.time() - began < 5
