@@ -212,19 +212,17 @@ def not_hand_written(tasks: DataFrame, library: DataFrame, scratch: Scratch, own
     return rows.select("task_id", "repository_id", "file_path", reason.alias("reason"), "lib_file_id", "share")
 
 
-def merkle_directories(leaves: DataFrame, scratch: Scratch, max_depth: int = 64) -> DataFrame:
+def merkle_directories(leaves: DataFrame, scratch: Scratch) -> DataFrame:
     """(tree, dir, hash, files): every directory of every tree; leaves: (tree, path, content). One aggregation per level.
 
     Children are combined as a sum over hashes of (name, hash), which is independent of order and pre-aggregated before
-    the shuffle, so a directory of any number of files is no burden to a task. Paths deeper than `max_depth` levels raise.
+    the shuffle, so a directory of any number of files is no burden to a task.
     """
     rows = leaves.groupBy("tree", "path").agg(F.max("content").alias("h"))
     parts = F.split("path", "/")
     rows = rows.select("tree", F.col("path").alias("at"), F.size(parts).alias("level"), "h", F.lit(1).cast("long").alias("files"))
     pending = scratch.cut(rows, "nodes")
     deepest = pending.agg(F.max("level")).first()[0] or 0
-    if deepest > max_depth:
-        raise ValueError(f"paths have {deepest} levels")
     done = None
     for level in range(deepest, 0, -1):
         here = pending.filter(F.col("level") == level) if done is None else pending.filter(F.col("level") == level).unionByName(done.filter(F.col("level") == level))

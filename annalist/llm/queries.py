@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.llm import generated, mixing, packing, secrets, sentences, syntax
@@ -97,6 +97,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p9(spark, d)[1]
 
 
+def p9_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen records that are used too often, twice in the list, empty or of no target: none."""
+    targets = table(spark, d, "mix_targets").select(F.lower(F.trim("source")).alias("source"), "max_repeats")
+    chosen = _p9(spark, d)[0]
+    twice = chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit("twice").alias("what"))
+    j = chosen.join(targets, "source", "left")
+    wrong = j.filter(~F.coalesce((F.col("repeats") <= F.col("max_repeats")) & (F.col("repeats") > 0) & (F.col("tokens") > 0), F.lit(False)))
+    return twice.unionByName(wrong.select("doc_id", F.lit("limit").alias("what")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text")), with_text=False).select("doc_id", "sent_start", "sent_end")
 
@@ -106,9 +116,34 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "sent_no", "sentence")
 
 
+def p10_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of which sentences overlap, begin or end with white space, or leave anything else out: none."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    got = sentences.split_sentences(spread(docs))
+    plain = lambda c: F.length(F.regexp_replace(c, r"[\s\p{Z}\x1c-\x1f\x85]", ""))
+    after = F.lead("sent_start").over(Window.partitionBy("doc_id").orderBy("sent_no"))  # a text's sentences, within one task anyway
+    rows = got.withColumn("after", after).withColumn("bad", (F.col("after") < F.col("sent_end")) | (F.trim("sentence") != F.col("sentence")) | (F.length("sentence") != F.col("sent_end") - F.col("sent_start")))
+    per = rows.groupBy("doc_id").agg(F.max("bad").alias("bad"), F.sum(plain(F.col("sentence"))).alias("kept"))
+    return docs.join(per, "doc_id", "left").filter(F.coalesce("bad", F.lit(False)) | (F.coalesce("kept", F.lit(0)) != F.coalesce(plain(F.col("text")), F.lit(0)))).select("doc_id")
+
+
+def p5_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose masked text still holds a credential found in it, or differs in length or elsewhere than in letters of credentials: none."""
+    tasks = table(spark, d, "function_tasks").select("task_id", "file_path", "source")
+    new = secrets.redact(tasks, "source", "file_path").select("task_id", F.col("source").alias("new"))
+    found = secrets.find_secrets(tasks, "function_tasks", "task_id", "source", "file_path").groupBy(F.col("row_id").alias("task_id")).agg(F.collect_set("secret").alias("secrets"))
+    j = tasks.join(new, "task_id").join(found, "task_id", "left")
+    kept = F.exists("secrets", lambda x: F.contains(F.col("new"), x))
+    changed = F.col("secrets").isNull() & (F.col("new") != F.col("source"))
+    return j.filter(F.coalesce(kept, F.lit(False)) | (F.length("new") != F.length("source")) | F.coalesce(changed, F.lit(False))).select("task_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p5_redacted_documentations": p5_redacted_documentations, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_violations": p8_violations, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted_tasks": p5_redacted_tasks, "p5_redacted_documentations": p5_redacted_documentations, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_violations": p8_violations, "p5_violations": p5_violations, "p9_mixed": p9_mixed, "p9_violations": p9_violations, "p10_violations": p10_violations, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences,
 }
 ORACLES: dict[str, str] = {
     "p8_violations": "select cast(0 as int) as capacity_id, cast(0 as bigint) as id, '' as what where false",
+    "p5_violations": "select task_id from function_tasks where false",
+    "p9_violations": "select doc_id, '' as what from documents where false",
+    "p10_violations": "select doc_id from documents where false",
 }
