@@ -11,6 +11,7 @@ a key the last one counts; removed files go first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -69,6 +70,27 @@ def process(scratch: Scratch, model: docloop.Model, files: DataFrame, known: Dat
     return Outcome(appended, state, results, changed.filter("has_error").select(*key), seen.select(*file, "status", outcome.alias("outcome")))
 
 
+def backfill(scratch: Scratch, model: docloop.Model, steps: DataFrame, files: DataFrame, known: DataFrame, log: DataFrame, advance: Callable[[str], None] = lambda sha: None) -> tuple[DataFrame, DataFrame, int]:
+    """STR4, QRY8: one repository's commits behind the mark, oldest first, each a changeset against what the one before left; the mark follows the work.
+
+    steps: (sha, step) as of `commits.gap`; files: (sha, repository_id, file_path, status, content). For a full replay the
+    repository's data goes first (`registry.without_repositories`) and the mark is none. Returns the registry, the log's
+    new events, and how many commits were applied.
+    """
+    state, fresh, done = known.select(*registry.KEY, "content_hash", "is_deleted"), None, 0
+    while True:
+        part = [r["sha"] for r in steps.filter((F.col("step") >= done) & (F.col("step") < done + 100)).orderBy("step").collect()]  # a hundred at a time
+        for sha in part:
+            own = files.filter((F.col("sha") == sha) & F.col("status").isin("added", "modified", "removed")).drop("sha")
+            out = process(scratch, model, own, state, log if fresh is None else log.unionByName(fresh), sha)
+            state = scratch.cut(out.registry, "registry")
+            fresh = out.appended if fresh is None else fresh.unionByName(out.appended)
+            advance(sha)
+        done += len(part)
+        if len(part) < 100:
+            return state, fresh if fresh is not None else log.limit(0), done
+
+
 def external_documentation(resolved: DataFrame, tasks: DataFrame, log: DataFrame) -> DataFrame:
     """JOI4: (n, name, text): the last live documentation of the functions outside that each task calls; empty and missing ones fall out."""
     ext = resolved.filter(F.col("kind") == "external").select("tree", "file_path", "name", "target_file", "target_name").distinct()

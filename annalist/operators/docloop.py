@@ -113,10 +113,12 @@ def run_levels(scratch: Scratch, model: Model, tasks: DataFrame, deps: DataFrame
     if concurrency < 1:
         raise ValueError("concurrency must be at least 1")
     top = levels.agg(F.max("level")).first()[0]
+    placed = scratch.cut(tasks.join(levels, "comp"), "placed")
+    called = tasks.select(F.col("n").alias("dep"), F.col("comp").alias("dcomp"), F.col("name").alias("dname"), F.col("source").alias("dsource"))
+    pairs = scratch.cut(deps.join(placed.select("n", "comp", "level"), "n").join(called, "dep"), "pairs")
     done = None
     for level in range(0 if top is None else top + 1):
-        here = tasks.join(levels.filter(F.col("level") == level), "comp")
-        own = deps.join(here.select("n", "comp"), "n").join(tasks.select(F.col("n").alias("dep"), F.col("comp").alias("dcomp"), F.col("name").alias("dname"), F.col("source").alias("dsource")), "dep")
+        here, own = (x.filter(F.col("level") == level) for x in (placed, pairs))
         mates = own.filter(F.col("comp") == F.col("dcomp")).select("n", F.lit(0).alias("part"), F.col("dname").alias("dep"), F.lit("source").alias("kind"), F.col("dsource").alias("text"))
         parts = mates
         if done is not None:

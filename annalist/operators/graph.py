@@ -85,7 +85,7 @@ def peeled_levels(comps: list[int], links: list[tuple[int, int]], first: int) ->
     level = dict.fromkeys(comps, first)
     waits = dict.fromkeys(comps, 0)
     back: dict[int, list[int]] = {}
-    for x, y in set(links):
+    for x, y in {(x, y) for x, y in links if x in waits and y in waits}:
         waits[x] += 1
         back.setdefault(y, []).append(x)
     free = [c for c, w in waits.items() if not w]
@@ -183,7 +183,8 @@ def _levels(scratch: Scratch, comps: DataFrame, links: DataFrame, first: int, sm
     if _small(comps, links, small):
         pairs = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
         return _in_one_task(comps.select(F.col("comp").alias("a")), pairs, lambda p, e: peeled_levels(p, e, first), "comp bigint, level int")
-    rest, links = scratch.cut(comps, "rest"), scratch.cut(links, "links")
+    rest = scratch.cut(comps, "rest")
+    links = scratch.cut(links.join(rest.withColumnRenamed("comp", "x"), "x", "left_semi").join(rest.withColumnRenamed("comp", "y"), "y", "left_semi"), "links")
     out, level = None, first
     while not rest.isEmpty():
         held = links.select(F.col("x").alias("comp")).distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import changeset, commits, docloop, extract, graph, logs, registry, repos, responses
+from annalist.functions.scalar import backoff
+from annalist.operators import changeset, docloop, extract, graph, logs, registry, responses
 from annalist.plans import catalog
 from annalist.plans.catalog import _CALLS, _CHANGES, _D, _LANG, _LIST, _PATHS, _SCC, _UP, _listing, _log
 from annalist.plans.fixtures import cte, view
@@ -346,6 +347,13 @@ def push_results(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*registry.KEY, "mode", "documentation", F.col("error").isNotNull().alias("failed"), "attempts")
 
 
+@query(_PUSH + " select r.repository_id, r.file_path, r.function_name, a as attempt, 0.5 * power(2, a) as seconds from res r, (select unnest([0, 1]) as a) where bad")
+def push_retries(spark: SparkSession, d: str) -> DataFrame:
+    """SCH2: how long a failed task's component waited behind each attempt."""
+    r = _push(spark, d).results.select(*registry.KEY, F.posexplode(F.sequence(F.lit(0), F.col("attempts") - 1)).alias("attempt", "x"), "attempts")
+    return r.filter(F.col("attempt") < F.col("attempts") - 1).select(*registry.KEY, "attempt", backoff(F.col("attempt")).alias("seconds"))
+
+
 @query(_PUSH + " select count(*) filter (where not bad) as documented, count(*) filter (where bad) as failed from res")
 def push_tallies(spark: SparkSession, d: str) -> DataFrame:
     """AGG9."""
@@ -360,6 +368,16 @@ def push_files_outcome(spark: SparkSession, d: str) -> DataFrame:
     return _push(spark, d).files
 
 
+@query(ORACLES["push_registry_next"])
+def backfilled_registry(spark: SparkSession, d: str) -> DataFrame:
+    """STR4: the same files as two commits, one after the other, on what each leaves."""
+    files = view(spark, d, "push_sources").select(F.concat(F.lit("c"), F.floor(F.col("k") / 3) % 2).alias("sha"), "repository_id", "file_path", "status", "content")
+    known = view(spark, d, "push_registry", ("push_sources",)).select(*registry.KEY, "content_hash", "is_deleted")
+    log = view(spark, d, "push_log", ("push_sources",)).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    steps = spark.createDataFrame([("c0", 0), ("c1", 1)], "sha string, step int")
+    return changeset.backfill(Scratch(spark, "backfill"), _model(), steps, files, known, log)[0]
+
+
 @query("with t as (select * from function_tasks where mode = 'modified' and length(existing_documentation) > 0 and length(existing_documentation) % 2 = 0) select (select count(*) from function_tasks) - count(*) as written, count(*) as kept from t")
 def written_after_gate(spark: SparkSession, d: str) -> DataFrame:
     """LLM2, LLM7: what is kept writes nothing."""

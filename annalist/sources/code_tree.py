@@ -10,22 +10,36 @@ from pyspark.sql.types import StructType
 
 
 class _Part(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """A directory that a task walks, or the files beside it."""
+
+    def __init__(self, paths: list[str], walk: bool):
+        self.paths, self.walk = paths, walk
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.per = options["path"], int(options.get("filesPerPartition", "500"))
+        self.root, self.depth = options["path"], int(options.get("depth", "2"))
 
     def partitions(self) -> list[_Part]:
-        paths = sorted(os.path.join(d, f) for d, dirs, files in os.walk(self.root) if dirs.sort() is None for f in files)
-        return [_Part(paths[i : i + self.per]) for i in range(0, len(paths), self.per)] or [_Part([])]
+        """The directories `depth` levels down, and the files above them; the driver looks no deeper."""
+        parts, here = [], [self.root]
+        for _ in range(self.depth):
+            below = []
+            for d in here:
+                with os.scandir(d) as entries:
+                    own = sorted(entries, key=lambda e: e.name)
+                below += [e.path for e in own if e.is_dir(follow_symlinks=False)]
+                files = [e.path for e in own if e.is_file()]
+                parts += [_Part(files, False)] if files else []
+            here = below
+        return [*parts, *(_Part([d], True) for d in here)] or [_Part([], False)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for p in partition.paths:
-            with open(p, "rb") as f:
-                yield os.path.relpath(p, self.root), f.read().decode("utf-8", "replace")
+        for top in partition.paths:
+            paths = (os.path.join(d, f) for d, dirs, files in os.walk(top) if dirs.sort() is None for f in sorted(files)) if partition.walk else (top,)
+            for p in paths:
+                with open(p, "rb") as f:
+                    yield os.path.relpath(p, self.root), f.read().decode("utf-8", "replace")
 
 
 class CodeTree(DataSource):
