@@ -51,6 +51,14 @@ _OPENS = set(
     "el los las una unos este esta estos estas ello él ella nosotros ellos en con para cuando después antes como pero y luego aquí qué por cómo todos cada "
     "это этот эта эти он она они мы вы в на если когда после до но и затем потом здесь почему как все каждый".split()
 )
+#: Verbs of speech that go on after a question or exclamation, in lower case.
+_SAYS = set(
+    "said says asked asks replied answered wrote shouted cried exclaimed whispered added thought wondered "
+    "sagte sagt fragte fragt antwortete rief ruft schrieb meinte dachte flüsterte ergänzte "
+    "dit demanda demande répondit répond écrivit cria crie ajouta pensa murmura "
+    "dijo dice preguntó pregunta respondió responde contestó escribió gritó exclamó añadió pensó "
+    "сказал сказала спросил спросила ответил ответила написал написала крикнул крикнула подумал подумала добавил добавила".split()
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTICLES = "とってがはをにのでもや、，；：・的地得着了过吗呢"
 
@@ -285,7 +293,7 @@ def _score(s: str, a: int, end: int, nxt: int, kind: str, mark: str, closed: boo
             if w and w.group(1).lower() in _ORDINAL_AFTER:
                 return -6.0
     if lower and not ident:
-        if closed or kind == "…":
+        if closed or kind == "…" or kind == "!" and _SAYS.intersection(_WORD.findall(s, nxt, nxt + 16)[:1]):
             return -6.0
         return score - 1.5
     if bracket and lower:

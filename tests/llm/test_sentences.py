@@ -94,3 +94,9 @@ def test_length_decides_where_the_words_leave_it_open():
         assert module.split_unit("x" * 80, 0) == [(0, 40), (41, 80)]
     finally:
         module._candidates = old
+
+
+def test_a_verb_of_speech_goes_on_after_a_question():
+    for whole in ("¿Y el índice? preguntó el revisor.", "Is it ready? asked the reviewer.", "Halt! rief er.", "Готово? спросил он."):
+        assert pieces(whole + " Done here.") == [whole, "Done here."]
+    assert pieces("Stop! the index starts in lower case here.") == ["Stop!", "the index starts in lower case here."]
