@@ -55,61 +55,89 @@ def pieces(tokens: int, loss: int, capacity: int, loss_limit: int) -> list[tuple
     return out
 
 
+#: Shares of loss-bearing tokens by which kinds of items are listed; they only shorten the search.
+_CLASSES = (0.0, 0.5, 0.75, 0.85, 0.9, 0.94, 0.97, 0.985, 1.0)
+
+
+class _Kinds:
+    """Kinds of items with a share of loss-bearing tokens between two bounds, from the largest on."""
+
+    def __init__(self, kinds: list[tuple[int, int]], low: float, high: float):
+        self.kinds, self.low, self.high = kinds, low, high
+        self.down = [-t for t, _ in kinds]
+        self.nxt = list(range(len(kinds) + 1))  # the next kind that has items
+        self.at = 0  # the first that may still fit the open container
+
+    def alive(self, k: int) -> int:
+        nxt, root = self.nxt, k
+        while nxt[root] != root:
+            root = nxt[root]
+        while nxt[k] != root:
+            nxt[k], k = root, nxt[k]
+        return root
+
+    def best(self, room: int, free: int, a: float, c: float, top: tuple[float, int, int]) -> tuple[tuple[float, int, int], int]:
+        """The largest (product, tokens, loss) above `top` of what fits, and its place; else `top` and -1."""
+        most = room if free >= room * self.low else int(free / self.low)
+        i = self.at = self.alive(max(self.at, bisect_left(self.down, -most)))
+        kinds, nxt, n, found = self.kinds, self.nxt, len(self.kinds), -1
+        bound = a + self.high * c
+        limit = top[0] * (1 - 1e-12)
+        while i < n:
+            t, x = kinds[i]
+            if t * bound < limit:
+                break
+            if x <= free:
+                got = (t * a + x * c, t, x)
+                if got > top:
+                    top, found, limit = got, i, got[0] * (1 - 1e-12)
+            i = nxt[i + 1]
+            if nxt[i] != i:
+                i = self.alive(i)
+        return top, found
+
+
 def pack(items: list[tuple[int, int]], tokens: int, segments: int, loss: int) -> list[list[int]]:
     """Containers as lists of item numbers. items: (tokens, loss-bearing tokens), each within the limits.
 
-    Equal items are one kind, as the heuristic can't tell them apart. Kinds are tried from the largest on; as loss-bearing
-    tokens are tokens, the size of a kind bounds its dot product, and the search ends where no smaller one can be better.
+    Equal items are one kind, as the heuristic can't tell them apart. Kinds are listed by their share of loss-bearing
+    tokens, so that their size bounds their dot product, and the search of a list ends where no smaller one can be better.
     """
     of: dict[tuple[int, int], list[int]] = {}
     for i in range(len(items) - 1, -1, -1):
         of.setdefault(items[i], []).append(i)
     kinds = sorted(of, reverse=True)
-    n, left = len(kinds), len(items)
+    lists = []
+    for low, high in zip(_CLASSES, _CLASSES[1:]):
+        own = [k for k in kinds if low * k[0] < k[1] <= high * k[0] or low == k[1] == 0]
+        if own:
+            lists.append(_Kinds(own, low, high))
+    lists.reverse()
+    left = len(items)
     demand = [sum(t for t, _ in items) / tokens, len(items) / segments, sum(x for _, x in items) / loss]
     most = max(demand, default=1.0) or 1.0
     by_tokens, by_loss = demand[0] / most / tokens**2, demand[2] / most / loss**2
-    sizes, losses = [t for t, _ in kinds], [x for _, x in kinds]
-    down = [-t for t in sizes]
-    nxt = list(range(n + 1))  # the next kind that has items
-
-    def alive(k: int) -> int:
-        root = k
-        while nxt[root] != root:
-            root = nxt[root]
-        while nxt[k] != root:
-            nxt[k], k = root, nxt[k]
-        return root
-
     out: list[list[int]] = []
     while left:
-        room, seats, free, own, k = tokens, segments, loss, [], 0
+        room, seats, free, own = tokens, segments, loss, []
+        for k in lists:
+            k.at = 0
         while seats and room:
             # the segments' part of the product is the same for all items
             a, c = by_tokens * room, by_loss * free
-            best, top = -1, -1.0
-            k = alive(max(k, bisect_left(down, -room)))
-            i = k
-            while i < n:
-                t = sizes[i]
-                if t * a + (t if t < free else free) * c <= top:
-                    break
-                x = losses[i]
-                if x <= free:
-                    v = t * a + x * c
-                    if v > top:
-                        top, best = v, i
-                i = nxt[i + 1]
-                if nxt[i] != i:
-                    i = alive(i)
-            if best < 0:
+            top, where, at = (-1.0, 0, 0), None, -1
+            for k in lists:
+                top, found = k.best(room, free, a, c, top)
+                if found >= 0:
+                    where, at = k, found
+            if where is None:
                 break
-            kind = of[kinds[best]]
+            kind = of[top[1:]]
             own.append(kind.pop())
             if not kind:
-                nxt[best] = best + 1
-            room -= sizes[best]
-            free -= losses[best]
+                where.nxt[at] = at + 1
+            room -= top[1]
+            free -= top[2]
             seats -= 1
             left -= 1
         out.append(own)
