@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,14 +29,16 @@ def local_session(name: str = "annalist", cores: str | int = "*", partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (`spark.checkpoint.dir`).
 
-    Only a local session without that setting gets a temporary folder; on a cluster its absence is an error, because a
+    Only a local session without that setting gets a temporary folder, which goes with the process; on a cluster its absence is an error, because a
     machine's own folder would be lost with the machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        path = "file://" + tempfile.mkdtemp(prefix="annalist-")
+        local = tempfile.mkdtemp(prefix="annalist-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        path = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
