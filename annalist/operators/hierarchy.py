@@ -2,8 +2,8 @@
 
 Bottom-up leaf peeling, reverse peel order, cycles as the residue. Peeling single leaves would take as many rounds as the
 tree is high, and a history is as long as its project is old, so whole leaf segments are peeled: a segment is a maximal
-run of nodes below the last fork, found by doubling pointers. Every node that becomes a leaf segment's end was a fork, so
-each phase at least halves the leaves; phases and doublings grow with the logarithm of the rows.
+run of nodes below the last fork, found by pointers that follow one another. Every node that becomes a leaf segment's end was a fork, so
+each phase at least halves the leaves; phases and rounds grow with the logarithm of the rows.
 
 Bottom-up, each peeled segment sends its subtree size to the node it hangs from, and with it an interval: nodes are
 numbered in preorder, and the descendants of a node are the numbers from its own to its own plus its subtree size. That
@@ -130,11 +130,11 @@ def peel(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Forest:
         )
         walk, open_ = _cut_counting(scratch, walk, ~F.col("done"))
         while open_:
-            nxt, n = _cut_counting(scratch, _double(_double(walk)), ~F.col("done"))
+            nxt, n = _cut_counting(scratch, _follow(walk), ~F.col("done"))
             scratch.drop(walk)
             walk = nxt
             if n == open_:
-                break  # a run that ends doubles towards its head, so only pure cycles stand still
+                break  # a run that ends moves towards its head, so only pure cycles stand still
             open_ = n
         still = walk.filter(~F.col("done")).select("id")
         cyclic = still if cyclic is None else cyclic.unionByName(still)
@@ -156,10 +156,16 @@ def peel(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Forest:
     return Forest(scratch, names, nodes, segments, cyclic, phase)
 
 
-def _double(walk: DataFrame) -> DataFrame:
-    """Lets every open pointer skip to where its target points; pointers at a segment's head are done."""
-    to = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("off").alias("off2"), F.col("done").alias("done2"))
-    moved = walk.filter(~F.col("done")).join(to, "ptr").select("id", "parent", "leaf", F.col("ptr2").alias("ptr"), (F.col("off") + F.col("off2")).alias("off"), F.col("done2").alias("done"))
+#: Pointers that one round follows, one after another: runs get HOPS + 1 times as long with each round.
+HOPS = 5
+
+
+def _follow(walk: DataFrame, hops: int = HOPS) -> DataFrame:
+    """Lets every open pointer follow `hops` pointers; those at a segment's head stay there. All hops meet the same table, which Spark reads once."""
+    moved = walk.filter(~F.col("done"))
+    for _ in range(hops):
+        to = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("off").alias("off2"), F.col("done").alias("done2"))
+        moved = moved.join(to, "ptr").select("id", "parent", "leaf", F.col("ptr2").alias("ptr"), (F.col("off") + F.col("off2")).alias("off"), F.col("done2").alias("done"))
     return walk.filter("done").unionByName(moved)
 
 
