@@ -5,8 +5,9 @@ void), or the largest id where the commit is null (such events are never void).
 order, so events delivered again, late or out of order change nothing that they should not. The row in force of a key
 is the state row with the largest id, unless it is a deletion.
 
-The base lies hashed into bucketed files. A batch is routed to the buckets by the one shuffle there is and staged beside
-them; the touched buckets of base and batch are then sorted and merged where they lie, and what comes out replaces them
+The base lies hashed into bucketed files. A batch is reduced to one row per key, commit and flag, with partial aggregation
+before its shuffle, so copies gather nowhere; it is routed to the buckets and staged beside them. The touched buckets of
+base and batch are then sorted and merged where they lie, without a shuffle of the base, and what comes out replaces them
 with a new manifest. Buckets follow key, commit and flag, so a hot key spreads over all of them; its events without a
 commit are kept in SALTS parts, which spread too. The last row of a key is a maximum, aggregated before its shuffle.
 
@@ -52,10 +53,10 @@ class FeedTable:
 
     def route(self, events: DataFrame) -> DataFrame:
         rows = events.filter(F.col("id").isNotNull()).select(*KEY, "commit_sha", F.coalesce("is_deleted", F.lit(False)).alias("deleted"), F.col("id").cast("long").alias("event_id"))
-        rows = rows.withColumn("bucket", self.store.bucket(_merge_key())).repartition(self.store.buckets, "bucket")
+        rows = rows.withColumn("bucket", self.store.bucket(_merge_key()))
         n = F.when(F.col("commit_sha").isNull(), F.max("event_id")).otherwise(F.min("event_id"))
         part = F.when(F.col("commit_sha").isNull(), F.pmod(F.col("event_id"), F.lit(SALTS))).alias("part")
-        return rows.groupBy("bucket", *KEY, "commit_sha", "deleted", part).agg(n.alias("event_id")).drop("part")
+        return rows.groupBy("bucket", *KEY, "commit_sha", "deleted", part).agg(n.alias("event_id")).drop("part").repartition(self.store.buckets, "bucket")
 
     def apply(self, events: DataFrame) -> list[int]:
         """Merges a batch into the buckets it touches and commits; returns those buckets."""
