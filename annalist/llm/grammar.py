@@ -55,6 +55,10 @@ _NO_SIGN = {
     "java": set(":= => === !== ?. ?? ** **= <=> # ` \\ \ufffd".split()), "cpp": set(":= => === !== ?. ?? @ ` # \\ \ufffd".split()),
 }
 _NO_SIGN["typescript"] = _NO_SIGN["javascript"]
+#: Words that go on with the line before theirs.
+_INFIX, _INFIX_TYPES = set("in of instanceof extends else from with".split()), set("as implements is satisfies".split())
+#: Words that go on with the statement of the brace before them.
+_GOES_ON = set("else catch finally while in of instanceof as from extends implements".split())
 _TYPES = set("class struct interface enum record namespace union extern module switch".split())
 _PREFIX = {"javascript": set("+ - ! ~ ++ -- ... @ #".split()), "go": set("+ - ! ^ * & <- ... ~".split()), "java": set("+ - ! ~ ++ -- @ ...".split()), "cpp": set("+ - ! ~ ++ -- * & && :: ... ^".split())}
 _PREFIX["typescript"] = _PREFIX["javascript"] | {"|", "&"}
@@ -63,7 +67,10 @@ _POSTFIX = {"++", "--", "!"}
 _BINARY = set("= += -= *= /= %= &= |= ^= <<= == != === !== <= && || | ^ % / + - * & ** **= &&= ||= ?? ??= << &^ &^= := <=> ~ =>".split())
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 _NAME = re.compile(r"[^\W\d]|\$")
-_CAPITALS = re.compile(r"[A-Z][A-Z0-9_]*$")
+#: Names that a C preprocessor may replace by anything.
+_CAPITALS = re.compile(r"_*[A-Z][A-Z0-9_]*$|__\w+$|\w+_[A-Z]{2,}$")
+#: A text right behind a name or bracket is a tagged template.
+_TAGGED = re.compile(r'(?<=[\w$)\]])""')
 
 
 def grammar_error(lang: str, code: str) -> str | None:
@@ -80,19 +87,27 @@ def grammar_error(lang: str, code: str) -> str | None:
     ifs, asks = [0], [0]  # per bracket: conditions without else, questions without their colon
     body = False  # the statement of a condition is due
     names = 0  # plain names side by side
-    for tok in _TOKEN.findall(code):
+    for tok in _TOKEN.findall(_TAGGED.sub("`", code) if script else code):
         if tok == "\n":
             line = True
             continue
+        if tok == "`" and script:
+            if due == "a":
+                continue
+            tok = '""'
+        elif tok == "**" and not script:
+            tok = "*"
         c = tok[0]
         if tok in never:
             return tok
-        if prev in heads and tok != "(" and before not in (".", "?.", "::") and not (script and (tok in (":", "await", ",", "}", "=") or prev == "with")) and not (cpp and tok in ("constexpr", "consteval", "!")):
+        if prev in heads and tok != "(" and before not in (".", "?.", "::") and not (script and (tok in (":", "await", ",", "}", "=") or prev == "with")) and not (cpp and (tok in ("constexpr", "consteval", "!") or _CAPITALS.match(tok))):
             return f"{prev} {tok}"
         literal = tok == '""' or c.isdigit() or c == "." and len(tok) > 1 and tok[1].isdigit()
+        if line and script and prev in ("break", "continue", "return", "debugger") and before not in (".", "?."):
+            due, words = "s", []
         if line and due == "a" and kind != "(" and (script or go):
             # a line that can't go on begins a statement
-            if literal or _NAME.match(c) and tok not in ("in", "of", "instanceof", "as", "extends", "implements", "is", "satisfies", "else", "from", "with") or c in "{@#":
+            if literal or _NAME.match(c) and tok not in _INFIX and not (typescript and tok in _INFIX_TYPES) or c in "{@#":
                 due, words = ("s", []) if kind in ("block", "switch") else ("x", words)
                 names = 0
         if literal or _NAME.match(c):
@@ -128,9 +143,9 @@ def grammar_error(lang: str, code: str) -> str | None:
                 ifs[-1] -= 1
             elif tok == "if" and due != "e":
                 ifs[-1] += 1
-            if due == "s" and tok not in ("else",):
+            if tok not in _GOES_ON and (due == "s" or due == "x" and prev == "}" and kind == "block"):
                 words = []
-            if not literal:
+            if not literal and prev not in (".", "?."):
                 words.append(tok)
             body = tok in ("else", "do") and not go and prev not in (".", "?.")
             if tok in unary and prev not in (".", "?.", "->", "::"):
@@ -141,7 +156,7 @@ def grammar_error(lang: str, code: str) -> str | None:
                 due = "a"
         elif c in "([{":
             if c == "(":
-                holds = "head" if (prev in heads or prev in ("constexpr", "await") and before in heads) else "block" if go and prev in ("import", "var", "const", "type") else "("
+                holds = "head" if before not in (".", "?.") and (prev in heads or prev in ("constexpr", "await") and before in heads) else "block" if go and prev in ("import", "var", "const", "type") else "("
             elif c == "[":
                 holds = "["
             else:
@@ -213,7 +228,7 @@ def grammar_error(lang: str, code: str) -> str | None:
         elif tok in _BINARY:
             if tok == "=" and (prev == ":" or cpp and len(words) == 2 and words[0] == "const" and prev == words[1]):
                 return f"{prev} ="
-            if due in ("e", "s") and tok not in prefix and not (java and tok == "*" and prev == ".") and prev not in (">", "*", "&", "&&", "operator", "}", ")", "]", "..."):
+            if due in ("e", "s") and tok not in prefix and not (java and tok == "*" and prev == ".") and not (script and tok == "*" and due == "s") and prev not in (">", "*", "&", "&&", "operator", "}", ")", "]", "..."):
                 return f"{prev} {tok}"
             if tok in ("*", "&", "&&", "|") or tok == "=>" or prev == "operator":
                 due = "x"
@@ -250,7 +265,7 @@ def _brace(prev: str, before: str, words: list[str], due: str, kind: str, script
         if "enum" in words:
             return "enum"
         return "block" if java or cpp or "class" in words or "switch" in words else "any"
-    if prev == ")" or prev in ("else", "do", "try", "finally", "const", "noexcept", "override", "final", "mutable", "=>"):
+    if prev == ")" or prev in ("else", "do", "try", "finally", "=>") or cpp and prev in ("const", "noexcept", "override", "final", "mutable"):
         return "block"
     if java:
         if prev in ("=", "]", ",", "(") or prev == "{" and kind == "init":

@@ -35,10 +35,29 @@ _JAVA_TOP = re.compile(
 )
 _GO_LINE = re.compile(r"import[ \t]*(?:\(\)|(?:[\w.]+[ \t]+)?\"\")$|func\b[^{}]*\(\)|(?:var|const|type)\b")
 _GO_GOES_ON = tuple("+-*/%&|^=<>.,!")
-_C_DIRECTIVE = re.compile(r"^[ \t]*#[^\n]*(?:\\\n[^\n]*)*", re.M)
+_C_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(\w*)((?:[^\\\n]|\\[^\n]|\\\n)*)", re.M)
 _JS_LATE = re.compile(r"(?<![\w$.])(?:if|while|for|switch)\s*\(\)\s*(?:\Z|\})|(?<![\w$.])(?:function)\s*\*?\s*[\w$]*\s*\(\)\s*\Z|(?<![\w$.])class\s+[\w$]+\s*\Z|(?<![\w$.])import\s*\{\}\s*(?!\s*from)")
 
 
+def preprocessed(code: str) -> str:
+    """C++ without directives and with the first branch of every condition (of `#if 0` the other one)."""
+    out, pos, kept = [], 0, []  # kept: per open condition whether its present branch is taken, and whether one was
+    for m in _C_DIRECTIVE.finditer(code):
+        if all(k for k, _ in kept):
+            out.append(code[pos : m.start()])
+        pos, word = m.end(), m.group(1)
+        if word in ("if", "ifdef", "ifndef"):
+            taken = m.group(2).strip() not in ("0", "false")
+            kept.append((taken, taken))
+        elif kept and word in ("else", "elif", "elifdef", "elifndef"):
+            kept[-1] = (not kept[-1][1], True)
+        elif kept and word == "endif":
+            kept.pop()
+    if all(k for k, _ in kept):
+        out.append(code[pos:])
+    return "".join(out)
+
+
 def _reduced(code: str) -> str:
     """Code with the contents of all brackets taken out, innermost first."""
     while True:
@@ -76,7 +95,9 @@ def syntax_error(path: str | None, source: str | None) -> str | None:
     lang = language_of(path)
     if lang is None or source is None or not source.strip():
         return None
-    s = source.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    s = source.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    if s.startswith("#!") and lang in ("javascript", "typescript"):
+        s = s[s.find("\n") :] if "\n" in s else ""
     pieces = scan(lang, s)
     for p in pieces:
         if not p.ok:
@@ -85,7 +106,7 @@ def syntax_error(path: str | None, source: str | None) -> str | None:
     if _CONFLICT.search(code):
         return "merge conflict"
     if lang == "cpp":
-        code = _C_DIRECTIVE.sub("", code)
+        code = preprocessed(code)
     b = unbalanced(code)
     if b:
         return "premature end: " + b[0] if b[0].startswith("unclosed") else b[0]

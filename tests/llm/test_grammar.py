@@ -199,7 +199,7 @@ INVALID = {
 def error(lang, code):
     code = skeleton(code, scan(lang, code))
     if lang == "cpp":
-        code = syntax._C_DIRECTIVE.sub("", code)
+        code = syntax.preprocessed(code)
     return unbalanced(code) or grammar_error(lang, code)
 
 
@@ -233,3 +233,19 @@ def test_long_code_takes_linear_time():
     began = time.time()
     assert error("java", "class A { void f() {" + " x = y(1, 2) + 3;" * 50_000 + "} }") is None
     assert time.time() - began < 10
+
+
+MORE = [
+    ("a.js", "#!/usr/bin/env node\nlet a = 1\n"),
+    ("a.js", "switch (a) {\n  case 'x':\n    if (b) {\n      c = 1\n    }\n    break\n  case 'y':\n    return\n  default:\n}\n"),
+    ("a.js", "const { a: b, c: d } = require('x')\nlet e = String.raw`\\a` + tag`b${c}d`\n"),
+    ("a.js", "module.exports = {\n  a: Symbol.for('x'),\n  class: 1,\n  *b() {}\n}\ner = null\nis = false\n"),
+    ("a.h", "#ifdef A\n#define F(x) do { \\\n  g(x); \\\n} while (0)\nstruct A {\n#else\nstruct B {\n#endif\n  int x;\n};\n#if 0\n}}}\n#endif\nNS_END()\n"),
+    ("a.h", "#ifdef __cplusplus\nextern \"C\" {\n#endif\nchar **f(int **p, char **);\n#ifdef __cplusplus\n}\n#endif\n"),
+    ("a.hpp", "namespace a _GLIBCXX_VIS { _GLIBCXX_BEGIN\n inline int f() _NOEXCEPT { return 1; }\n_GLIBCXX_END }\n"),
+]
+
+
+@pytest.mark.parametrize(("path", "code"), MORE)
+def test_valid_files(path, code):
+    assert syntax.syntax_error(path, code) is None
