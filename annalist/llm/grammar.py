@@ -87,6 +87,7 @@ def grammar_error(lang: str, code: str) -> str | None:
     ifs, asks = [0], [0]  # per bracket: conditions without else, questions without their colon
     body = False  # the statement of a condition is due
     names = 0  # plain names side by side
+    stmt_bracket = False  # whether the last bracket that closed held a condition
     for tok in _TOKEN.findall(_TAGGED.sub("`", code) if script else code):
         if tok == "\n":
             line = True

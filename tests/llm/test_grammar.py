@@ -249,3 +249,15 @@ MORE = [
 @pytest.mark.parametrize(("path", "code"), MORE)
 def test_valid_files(path, code):
     assert syntax.syntax_error(path, code) is None
+
+
+def test_no_text_makes_a_check_fail():
+    import random
+
+    r = random.Random(1)
+    signs = "abX09 \n\t(){}[]<>;:,.=+-*/%&|^!?@#$`'\"\\_é\r\0"
+    words = "if else for function class return => -> :: case switch do while const enum struct template operator #if #else #endif = 'x' \"y\" `z${ }` import func package".split()
+    for _ in range(1500):
+        s = "".join(r.choice(signs) for _ in range(r.randint(0, 80))) if r.random() < 0.5 else " ".join(r.choice(words) if r.random() < 0.7 else r.choice(signs) for _ in range(r.randint(0, 40)))
+        for e in ("py", "js", "ts", "go", "java", "cpp"):
+            syntax.syntax_error(f"a.{e}", s)
